@@ -34,7 +34,7 @@ def rounds_for(chunks: int, fan_in: int) -> int:
     return n
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column]], fan_in: int = 32, chunks: int | None = None) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column]], fan_in: int = 8, chunks: int | None = None) -> DataFrame:
     """Aggregate ``df`` by ``keys`` in logarithmic fan-in rounds.
 
     measures: output name -> (``count`` | ``sum`` | ``min`` | ``max``, column).
@@ -75,7 +75,7 @@ def stack_fields(df: DataFrame, fields: list[str], carry: dict[str, Column] | No
     return rows.select(f"__pair.{field}", f"__pair.{value}", *(carry or {}))
 
 
-def vertex_totals(edges: DataFrame, fields: tuple[str, ...] = ("index1", "index2"), weight: str = "weight", fan_in: int = 32, chunks: int | None = None) -> DataFrame:
+def vertex_totals(edges: DataFrame, fields: tuple[str, ...] = ("index1", "index2"), weight: str = "weight", fan_in: int = 8, chunks: int | None = None) -> DataFrame:
     """Counts and weight sums per vertex of each field, complete for hubs too.
 
     Returns (field, key_value, n_rows, n_weighted, weight_sum).  Null is not a
@@ -94,7 +94,7 @@ def vertex_totals(edges: DataFrame, fields: tuple[str, ...] = ("index1", "index2
     )
 
 
-def hubs(edges: DataFrame, share: float = 0.01, fields: tuple[str, ...] = ("index1", "index2"), fan_in: int = 32, chunks: int | None = None) -> DataFrame:
+def hubs(edges: DataFrame, share: float = 0.01, fields: tuple[str, ...] = ("index1", "index2"), fan_in: int = 8, chunks: int | None = None) -> DataFrame:
     """Values that hold at least ``share`` of all rows, as (field, key_value, n_rows).
 
     "All rows" includes those whose field is null.  At most ``1 / share`` values

@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -59,6 +60,14 @@ class Cutter:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def cut_counting(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, str, dict]:
+        """As :meth:`cut`, with aggregates of the rows that are taken while they are written."""
+        seen = Observation()
+        path = self.path()
+        named = [c.alias(k) for k, c in metrics.items()] or [F.count(F.lit(1)).alias("n")]
+        df.observe(seen, *named).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path, seen.get
+
     def drop(self, *paths: str | None) -> None:
         """Delete stages; ``None`` entries are ignored."""
         jvm = self.spark.sparkContext._jvm
