@@ -28,7 +28,8 @@ def least_potentials(g: Graph, weight: str = "weight", threshold: int = 0, max_r
     the maximising one.  Over its out-edges it takes the least (largest) of
     max(0, potential of the target - weight), which is infinite beyond
     M = sum over vertices of max(0, largest -weight).  Starting from 0 the values
-    only rise, so the loop ends.  Vertices without out-edges keep 0; edges with a
+    only rise, so the loop ends; a cycle that loses energy climbs to M step by step,
+    so the number of rounds can reach M.  Vertices without out-edges keep 0; edges with a
     null weight do not exist.
     """
     cutter = Cutter(g.vertices.sparkSession, "energy")
