@@ -73,7 +73,7 @@ def with_token_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
     """
     path = f"{directory}/{vocabulary}"
     taken = df.select(*keep, F.col(text).alias("__text"))
-    schema = df.select(*keep, F.lit(0).cast("bigint").alias(name)).schema
+    schema = df.select(*keep, F.lit(None).cast("bigint").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
