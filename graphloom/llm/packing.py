@@ -96,7 +96,10 @@ def _sweep_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def frame(kind, size, rows, rank, bin_rows=None):
             return pd.DataFrame({"container": container, "kind": np.int32(kind), "size": size.astype(np.int32), "id": ids[rows], "piece": pieces[rows], "bin_id": ids[bin_rows] if bin_rows is not None else np.int64(-1), "bin_piece": pieces[bin_rows] if bin_rows is not None else np.int32(-1), "part": np.int32(part), "rank": rank})
 
+        fresh = seg["fresh"].to_numpy()
+        opened = np.flatnonzero(fresh > 0)
         yield frame(PLACED, sizes[done], done, np.zeros(len(done), np.int64), bins)
+        yield frame(PLACED, fresh[opened], opened, np.zeros(len(opened), np.int64), opened)
         yield frame(GAP, gap_left[wide], gap_rows[wide], np.arange(wide.sum()))
         yield frame(SMALL, gap_left[~wide], gap_rows[~wide], np.zeros((~wide).sum(), np.int64))
         yield frame(ITEM, sizes[wait], wait, np.arange(len(wait)))
@@ -150,25 +153,27 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
     pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("capacity")).cast("int"))))
     pieces = pieces.select("container", "id", "piece", "capacity", F.least(F.col("capacity").cast("bigint"), F.col("n") - F.col("piece").cast("bigint") * F.col("capacity")).cast("int").alias("size"))
     full = pieces.filter("size = capacity").select("container", F.col("id").alias("bin_id"), F.col("piece").alias("bin_piece"), "id", "piece", "size")
-    state = pieces.filter("size < capacity").select("container", F.lit(ITEM).alias("kind"), "size", "id", "piece")
-    out = [full]
-    rows = state.count()
+    # fresh: size of the piece that opened a container since the last sweep, which records it.
+    state = pieces.filter("size < capacity").select("container", F.lit(ITEM).alias("kind"), "size", "id", "piece", F.lit(0).alias("fresh"))
+    swept_paths, met_paths = [], []
+    rows = {r.container: r.n for r in state.groupBy("container").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = [F.col("container"), F.col("size").desc(), F.col("kind"), F.col("id"), F.col("piece")]
     for _ in range(max_rounds):
         if not rows:
             break
-        parts = max(len(containers), -(-rows // rows_per_sweep))
-        order = [F.col("container"), F.col("size").desc(), F.col("kind"), F.col("id"), F.col("piece")]
-        ranged = state.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        swept, _ = cutter.cut(ranged.mapInPandas(_sweep_partition, _ROUND))
-        placed = swept.filter(F.col("kind") == PLACED)
-        out.append(placed.select("container", "bin_id", "bin_piece", "id", "piece", "size"))
+        if max(rows.values()) <= rows_per_sweep:  # no container needs more than one range
+            ranged = state.repartitionByRange(len(rows), "container")
+        else:
+            ranged = state.repartitionByRange(-(-sum(rows.values()) // rows_per_sweep), *order)
+        swept, path = cutter.cut(ranged.sortWithinPartitions(*order).mapInPandas(_sweep_partition, _ROUND))
+        swept_paths.append(path)
         big = F.create_map(*(x for c, k in containers for x in (F.lit(c), F.lit(k))))[F.col("container")]
         item, gap = F.col("kind") == ITEM, F.col("kind") == GAP
         counts = swept.groupBy("container", "part").agg(
-            F.count_if(item).alias("items"), F.count_if(gap).alias("gaps"), F.count_if(F.col("kind") == PLACED).alias("placed"),
+            F.count_if(item).alias("items"), F.count_if(gap).alias("gaps"), F.count_if((F.col("kind") == PLACED) & ((F.col("id") != F.col("bin_id")) | (F.col("piece") != F.col("bin_piece")))).alias("placed"),
             F.sum(F.when(item, F.col("size")).otherwise(0)).alias("tokens"), F.count_if(item & (F.col("size") * 2 > big)).alias("halves"), F.min(F.when(item, F.col("size"))).alias("least"),
         ).collect()  # one row per range partition and container
-        steps, least, rows = [], {}, 0
+        steps, least, rows = [], {}, {}
         pair = 0
         for c in capacity:
             own = sorted((r for r in counts if r.container == c), key=lambda r: r.part)
@@ -180,7 +185,7 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
             for at, first, to, start, n in matched:
                 steps += [(c, at, GAP, first, first + n, pair - first, False), (c, to, ITEM, start, start + n, pair - start, False)]
                 pair += n
-            rows += waiting + sum(r.gaps for r in own)
+            rows[c] = waiting + sum(r.gaps for r in own)
             if len(own) == 1 or not matched and not sum(r.placed for r in own):
                 opened = max(1, sum(r.halves for r in own), -(-sum(r.tokens for r in own) // capacity[c]))
                 for r in own:
@@ -198,21 +203,23 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
         on = (F.col("container") == F.col("p_container")) & (F.col("part") == F.col("p_part")) & (F.col("kind") == F.col("p_kind")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
         marked = alive.join(plan, on, "left").withColumn("kind", F.when(F.col("kind") == SMALL, GAP).otherwise(F.col("kind")))
         new = marked.filter("opens")
-        out.append(new.select("container", F.col("id").alias("bin_id"), F.col("piece").alias("bin_piece"), "id", "piece", "size"))
-        born = new.select("container", F.lit(GAP).alias("kind"), (big - F.col("size")).alias("size"), "id", "piece")
-        state = marked.filter("opens is null").select("container", "kind", "size", "id", "piece").unionByName(born)
+        born = new.select("container", F.lit(GAP).alias("kind"), (big - F.col("size")).alias("size"), "id", "piece", F.col("size").alias("fresh"))
+        state = marked.filter("opens is null").select("container", "kind", "size", "id", "piece", F.lit(0).alias("fresh")).unionByName(born)
         if pair:
             both = marked.filter("not opens").withColumn("pair", F.col("rank") + F.col("shift"))
             g = both.filter(gap).select("pair", F.col("size").alias("room"), F.col("id").alias("bin_id"), F.col("piece").alias("bin_piece"))
             i = both.filter(item).select("pair", "container", "size", "id", "piece")
-            met, _ = cutter.cut(i.join(g, "pair"))
-            out.append(met.select("container", "bin_id", "bin_piece", "id", "piece", "size"))
-            state = state.unionByName(met.select("container", F.lit(GAP).alias("kind"), (F.col("room") - F.col("size")).alias("size"), F.col("bin_id").alias("id"), F.col("bin_piece").alias("piece")))
+            met, path = cutter.cut(i.join(g, "pair"))
+            met_paths.append(path)
+            state = state.unionByName(met.select("container", F.lit(GAP).alias("kind"), (F.col("room") - F.col("size")).alias("size"), F.col("bin_id").alias("id"), F.col("bin_piece").alias("piece"), F.lit(0).alias("fresh")))
     else:
         raise RuntimeError(f"items are left after {max_rounds} rounds")
-    placed = out[0]
-    for more in out[1:]:
-        placed = placed.unionByName(more)
+    columns = ["container", "bin_id", "bin_piece", "id", "piece", "size"]
+    placed = full.select(*columns)
+    if swept_paths:
+        placed = placed.unionByName(spark.read.schema(_ROUND).parquet(*swept_paths).filter(F.col("kind") == PLACED).select(*columns))
+    if met_paths:
+        placed = placed.unionByName(spark.read.schema(met.schema).parquet(*met_paths).select(*columns))
     firsts = {r.container: (r.f.bin_id, r.f.bin_piece) for r in placed.groupBy("container").agg(F.min(F.struct("bin_id", "bin_piece")).alias("f")).collect()} if containers else {}
     nothing = base.filter("n <= 0")
     alone = nothing.agg(F.min("id")).first()[0]
