@@ -140,19 +140,18 @@ def classify_lines(df: DataFrame, formats: tuple[RowFormat, ...] = FORMATS, kind
         return reduce(lambda rest, f: F.when(k == f.kind, make(f)).otherwise(rest), formats, F.lit(None))
 
     valid = by_kind(lambda f: line.rlike(f.whole()))
+    first_broken = by_kind(lambda f: f.first_broken(line))
+    # Quoting and the number of fields concern the whole line and come before any value.
     reason = (
         F.when(line.isNull(), F.lit(MISSING_LINE))
         .when(k.isNull() | ~k.isin(*(f.kind for f in formats)), F.lit(UNKNOWN_KIND))
         .when(valid, F.lit(None).cast("string"))
         .when(~line.rlike(SOUND), F.lit(BROKEN_QUOTING))
         .when(~by_kind(lambda f: line.rlike(f.shape())), F.lit(WRONG_COLUMN_COUNT))
-        .otherwise(F.lit(INVALID_VALUE))
+        .when(first_broken.isNotNull(), F.lit(INVALID_VALUE))
     )
-    def name(f: RowFormat) -> Column:
-        at = f.first_broken(line)
-        return reduce(lambda rest, x: F.when(at == x[0], F.lit(x[1].name)).otherwise(rest), enumerate(f.fields, 1), F.lit(None).cast("string"))
-
-    broken = F.when(F.col("reason").isin(BROKEN_QUOTING, WRONG_COLUMN_COUNT, INVALID_VALUE), by_kind(name))
+    names = by_kind(lambda f: F.get(F.array(*(F.lit(x.name) for x in f.fields)), first_broken - 1))
+    broken = F.when(F.col("reason").isin(BROKEN_QUOTING, WRONG_COLUMN_COUNT, INVALID_VALUE), names)
     return df.withColumn("reason", reason).withColumn("broken_field", broken)
 
 
