@@ -58,9 +58,12 @@ def mean_clustering(g: Graph) -> DataFrame:
     return clustering(g).agg(F.avg("coefficient").alias("coefficient"))
 
 
-def core_numbers_of(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def core_numbers_of(edges: DataFrame, start: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(id, core) of the vertices of a symmetric simple edge table.
 
+    start: (id, core) that are at least the true core numbers, such as those of the
+    graph before edges were taken from it; fewer rounds are needed then.
+
     Iterated h-index: a vertex takes the largest h such that h of its neighbours
     have at least h; started from the degrees this falls to the core number, in far
     fewer rounds than peeling.  Neighbour values are capped at the vertex's own
@@ -68,7 +71,10 @@ def core_numbers_of(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """
     cutter = Cutter(edges.sparkSession, "cores")
     table = EdgeTable(edges, cutter)
-    state, path = cutter.cut(table.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("core")))
+    first = table.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("core"))
+    if start is not None:
+        first = first.join(start.select("id", F.col("core").alias("most")), "id", "left").select("id", F.least("core", "most").alias("core"))
+    state, path = cutter.cut(first)
     w = Window.partitionBy("id").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for _ in range(max_rounds):
         seen = table.spread(state).select(F.col("dst").alias("id"), F.col("core").alias("x"))
@@ -102,8 +108,9 @@ def core_edge_peel(g: Graph) -> DataFrame:
     edges, path = cutter.cut(marked.select("src", "dst", (F.col("a").isNotNull() | F.col("b").isNotNull()).alias("leaf")))
     done = [edges.filter("leaf and src < dst").select("src", "dst", F.lit(1).cast("bigint").alias("peel"))]
     left, _, n = cutter.cut_counting(edges.filter("not leaf").select("src", "dst"), n=F.count(F.lit(1)))
+    cores = None
     while n["n"]:
-        cores, _, top = cutter.cut_counting(core_numbers_of(left), k=F.max("core"))
+        cores, _, top = cutter.cut_counting(core_numbers_of(left, cores), k=F.max("core"))
         inner = cores.filter(F.col("core") == top["k"]).select("id")
         both = left.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
         part, _ = cutter.cut(both)

@@ -80,20 +80,16 @@ class Graph:
     def coo(self, sort: bool = False) -> DataFrame:
         return self.edges.orderBy("src", "dst") if sort else self.edges
 
-    def csr(self, sort: bool = True) -> DataFrame:
-        """(id, offset, degree, targets): adjacency of every vertex and its place in the edge list.
+    def csr(self) -> tuple[DataFrame, DataFrame]:
+        """Compressed rows as two tables: (id, offset, degree) and (position, dst, attributes).
 
-        targets holds structs of dst and the attributes, sorted if asked.  One row
-        per vertex is the definition of this format: the adjacency of a vertex is one
-        value, so use the edge table where a vertex may have a large share of edges.
+        The entries of a vertex are at positions offset .. offset + degree - 1, sorted by
+        dst and attributes.  No adjacency is gathered into one row.
         """
         rest = [c for c in self.edges.columns if c != "src"]
-        lists = self.edges.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct(*rest)).alias("targets"))
-        if sort:
-            lists = lists.withColumn("targets", F.sort_array("targets"))
-        rows = self.vertices.select("id").join(lists, "id", "left").withColumn("degree", F.coalesce(F.size("targets"), F.lit(0)))
-        rows = rows.withColumn("degree", F.when(F.col("targets").isNull(), 0).otherwise(F.col("degree")))
-        return running_sum(rows, [F.col("id")], F.col("degree"), "offset").select("id", "offset", "degree", "targets")
+        offsets = running_sum(self.out_degrees(), [F.col("id")], F.col("degree"), "offset").select("id", "offset", "degree")
+        entries = with_index(self.edges, [F.col("src"), *(F.col(c) for c in rest)], "position").select("position", *rest)
+        return offsets, entries
 
     # transforms of the loader
 

@@ -96,16 +96,19 @@ def aggregate_messages(g: Graph, state: DataFrame, message: Column, aggregate: d
 
 
 def adjacency_intersections(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
-    """(src, dst, common): neighbours that the two ends of a pair share, by default for every edge.
+    """(src, dst, common): one row per neighbour that both ends of a pair share, by default for every edge.
 
-    Adjacency sets are arrays; orient the graph by degree first where hubs have
-    very many neighbours.
+    The neighbours of the end with fewer of them are looked up among those of the
+    other, so the work per pair is the smaller degree; no adjacency is gathered.
+    Pairs and edges count once, however often they are repeated.
     """
-    adj = g.edges.groupBy("src").agg(F.collect_set("dst").alias("a"))
-    p = (pairs if pairs is not None else g.edges).select("src", "dst")
-    both = p.join(adj, "src", "left").join(adj.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst", "left")
-    empty = F.array().cast("array<bigint>")
-    return both.select("src", "dst", F.sort_array(F.array_intersect(F.coalesce("a", empty), F.coalesce("b", empty))).alias("common"))
+    e = g.edges.select("src", "dst").distinct()
+    d = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    p = (pairs.select("src", "dst").distinct() if pairs is not None else e).join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
+    small = F.col("n") <= F.col("m")
+    ends = p.select("src", "dst", F.when(small, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(small, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    offered = ends.join(e.select(F.col("src").alias("a"), F.col("dst").alias("common")), "a")
+    return offered.join(e.select(F.col("src").alias("b"), F.col("dst").alias("common")), ["b", "common"], "left_semi").select("src", "dst", "common")
 
 
 def run_lengths(df: DataFrame, key: str) -> DataFrame:

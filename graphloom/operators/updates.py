@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import with_index
+from .skew import HEAVY_ROWS, heavy_threshold, join_counted
+
 
 def _attributes(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("src", "dst")]
@@ -69,24 +72,31 @@ def upsert_edges(edges: DataFrame, batch: DataFrame, mode: str = "ignore", weigh
     return both.select("src", "dst", F.when(F.col("__in"), known).otherwise(new).cast(edges.schema[weight].dataType).alias(weight))
 
 
-def erase_edges(edges: DataFrame, batch: DataFrame, dedup_batch: bool = False) -> DataFrame:
+def erase_edges(edges: DataFrame, batch: DataFrame, dedup_batch: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Multiset difference on (src, dst): a key that the batch has k times removes up to k instances.
 
     With ``dedup_batch`` a key removes at most one.  Keys that match nothing are
-    ignored.  Of parallel instances the first by their attributes go.  The batch is
-    counted, not joined row by row; edges whose key is not in the batch take no
-    window, so only the touched groups are sorted.
+    ignored.  Of parallel instances the first by their attributes go.  Edges whose key
+    is not in the batch are not sorted.  Without attributes instances are counted; with
+    them they are numbered, by a window per key, or over a global order if a key has
+    ``heavy_rows`` instances or more, so that none comes into one task.
     """
     keys = batch.filter("src is not null and dst is not null").groupBy("src", "dst").agg((F.lit(1) if dedup_batch else F.count(F.lit(1))).cast("bigint").alias("__k"))
     rest = _attributes(edges)
     marked = edges.join(keys, ["src", "dst"], "left")
-    kept = marked.filter("__k is null")
-    if rest:
-        w = Window.partitionBy("src", "dst").orderBy(*rest)
-        left = marked.filter("__k is not null").withColumn("__rn", F.row_number().over(w)).filter("__rn > __k")
-    else:
-        counted = marked.filter("__k is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("__n"), F.max("__k").alias("__k"))
+    kept, touched = marked.filter("__k is null"), marked.filter("__k is not null")
+    counted = touched.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("__n"), F.max("__k").alias("__k"))
+    if not rest:
         left = counted.filter("__n > __k").withColumn("__one", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n") - F.col("__k"))))
+        return kept.select(*edges.columns).unionByName(left.select(*edges.columns))
+    most = counted.agg(F.max("__n"), F.sum("__n")).first()
+    threshold = heavy_threshold(most[1] or 0, heavy_rows)
+    if (most[0] or 0) < threshold:
+        left = touched.withColumn("__rn", F.row_number().over(Window.partitionBy("src", "dst").orderBy(*rest))).filter("__rn > __k")
+    else:
+        ordered = with_index(touched.withColumn("__key", F.struct("src", "dst")), [F.col("src"), F.col("dst"), *(F.col(c) for c in rest)], "__at")
+        firsts = ordered.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+        left = join_counted(ordered, firsts, "__key", "__n", threshold).filter("__at - __first >= __k")
     return kept.select(*edges.columns).unionByName(left.select(*edges.columns))
 
 
@@ -96,8 +106,8 @@ def gather(edges: DataFrame, positions: DataFrame, index: str = "index") -> Data
 
 
 def as_multimap(edges: DataFrame) -> DataFrame:
-    """(src, entries): the sorted structs of dst and attributes per source."""
-    return edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", *_attributes(edges)))).alias("entries"))
+    """(src, dst, attributes, n): every distinct row with its multiplicity."""
+    return edges.groupBy(*edges.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def same_multiset(a: DataFrame, b: DataFrame) -> bool:

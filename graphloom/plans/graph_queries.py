@@ -68,16 +68,19 @@ def g_coo(spark: SparkSession, d: str) -> DataFrame:
     return coo_graph(spark, d, "weight").coo(sort=True)
 
 
-@register("""SELECT id, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS "offset", degree, coalesce((SELECT string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) FROM E WHERE src = id), '') AS targets FROM D""")
-def g_csr(spark: SparkSession, d: str) -> DataFrame:
-    c = coo_graph(spark, d).csr()
-    return c.select("id", "offset", F.col("degree").cast("bigint").alias("degree"), F.coalesce(F.array_join(F.transform("targets", lambda t: t.dst.cast("string")), " "), F.lit("")).alias("targets"))
+@register('SELECT id, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS "offset", degree FROM D')
+def g_csr_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return coo_graph(spark, d).csr()[0]
 
 
-@register("SELECT src, count(*) AS n, string_agg(dst || ':' || coalesce(CAST(weight AS VARCHAR), '-'), ' ' ORDER BY dst, weight NULLS FIRST) AS entries FROM E GROUP BY src")
+@register("SELECT row_number() OVER (ORDER BY src, dst, weight NULLS FIRST) - 1 AS position, dst, weight FROM E")
+def g_csr_entries(spark: SparkSession, d: str) -> DataFrame:
+    return coo_graph(spark, d, "weight").csr()[1]
+
+
+@register("SELECT src, dst, weight, count(*) AS n FROM E GROUP BY ALL")
 def g_multimap(spark: SparkSession, d: str) -> DataFrame:
-    m = updates.as_multimap(coo_graph(spark, d, "weight").edges)
-    return m.select("src", F.size("entries").cast("bigint").alias("n"), F.array_join(F.transform("entries", lambda t: F.concat_ws(":", t.dst, F.coalesce(t.weight.cast("string"), F.lit("-")))), " ").alias("entries"))
+    return updates.as_multimap(coo_graph(spark, d, "weight").edges)
 
 
 # transforms
@@ -249,9 +252,9 @@ def g_aggregate_messages(spark: SparkSession, d: str) -> DataFrame:
     return traverse.aggregate_messages(g, g.out_degrees(), message, {"total": F.sum("message"), "top": F.max("message"), "n": F.count("message")})
 
 
-@register("SELECT c.src, c.dst, (SELECT count(*) FROM C x JOIN C y ON x.dst = y.dst WHERE x.src = c.src AND y.src = c.dst) AS n_common FROM C c")
+@register("SELECT U.src, U.dst, x.dst AS common FROM U JOIN U x ON x.src = U.src JOIN U y ON y.src = U.dst AND y.dst = x.dst")
 def g_adjacency_intersections(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.adjacency_intersections(copurchase(spark, d)).select("src", "dst", F.size("common").cast("bigint").alias("n_common"))
+    return traverse.adjacency_intersections(coo_graph(spark, d).simple())
 
 
 @register("SELECT id, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS exclusive, CAST(sum(degree) OVER (ORDER BY id) AS BIGINT) AS inclusive, max(degree) OVER (ORDER BY id) AS top FROM D")

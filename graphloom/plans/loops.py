@@ -42,13 +42,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{home}/.graphloom"
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    """Remove the stages of a loop when the driver ends, if its session still runs."""
+    try:
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:
+        pass
+
+
 class Cutter:
-    """Writes stages of a plan and removes those that are no longer needed."""
+    """Writes stages of a plan and removes those that are no longer needed.
+
+    What is left, such as the table behind a result, is removed when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
+        atexit.register(_forget, spark, self.base)
 
     def path(self) -> str:
         self._count += 1

@@ -130,6 +130,13 @@ def test_hubs_take_the_broadcast_way(g, spark):
     assert got == sorted((a, b, a * 10) for a, b in ARCS)
 
 
+def test_intersections(g, u, spark, rows):
+    near = {v: {b for a, b in ARCS if a == v} | {a for a, b in ARCS if b == v} for v in range(9)}
+    assert rows(traverse.adjacency_intersections(u)) == sorted((a, b, c) for a in near for b in near[a] for c in near[a] & near[b])
+    pairs = spark.createDataFrame([(0, 8), (0, 8), (5, 1)], "src bigint, dst bigint")
+    assert rows(traverse.adjacency_intersections(u, pairs)) == [(0, 8, 2), (0, 8, 3)]
+
+
 def test_least_potentials(spark):
     e = spark.createDataFrame([(0, 1, -3), (1, 2, 5), (2, 0, -1), (3, 0, -2), (4, 4, -1)], "src bigint, dst bigint, weight int")
     d = as_dict(algebra.least_potentials(Graph.dense(e, 6)), "id", "potential")
@@ -143,7 +150,9 @@ def test_updates_are_multisets(spark, rows):
     base = spark.createDataFrame([(1, 2, 5), (1, 2, 3), (1, 2, None), (3, 4, 1), (None, 4, 1)], "src bigint, dst bigint, w int")
     batch = spark.createDataFrame([(1, 2), (1, 2), (9, 9), (None, 1)], "src bigint, dst bigint")
     assert rows(updates.erase_edges(base.filter("src is not null"), batch)) == [(1, 2, 5), (3, 4, 1)]
+    assert rows(updates.erase_edges(base.filter("src is not null"), batch, heavy_rows=1)) == [(1, 2, 5), (3, 4, 1)]
     assert len(rows(updates.erase_edges(base.filter("src is not null"), batch, dedup_batch=True))) == 3
+    assert rows(updates.as_multimap(batch)) == [(1, 2, 2), (9, 9, 1), (None, 1, 1)]
     topology = base.filter("src is not null").select("src", "dst")
     assert rows(updates.erase_edges(topology, batch)) == rows(topology.exceptAll(batch.dropna()))
     more = spark.createDataFrame([(1, 2, 7), (5, 6, 9), (5, 6, 8), (None, 1, 1)], "src bigint, dst bigint, w int")
@@ -181,7 +190,9 @@ def test_transforms(g, spark, rows):
     s = g.drop_singletons()
     assert sorted(r.id for r in s.vertices.collect()) == [0, 1, 2, 3]
     assert rows(s.edges, "src", "dst") == [(0, 1), (1, 0), (1, 3)]
-    c = {r.id: (r.offset, r.degree) for r in g.csr().collect()}
+    offsets, entries = g.csr()
+    c = {r.id: (r.offset, r.degree) for r in offsets.collect()}
+    assert [r.dst for r in entries.orderBy("position").collect()] == [b for _, b in sorted(ARCS)]
     assert c[0] == (0, 3) and c[1] == (3, 0) and c[7] == (11, 1)
     back = Graph.from_csr(spark, [0, 2, 2, 3], [1, 2, 0])
     assert rows(back.edges) == [(0, 1), (0, 2), (2, 0)]
