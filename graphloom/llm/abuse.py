@@ -77,6 +77,7 @@ class Lexicon:
         self.terms = {*lex.INSULTS, *lex.DOUBTFUL, *lex.DEROGATORY, *lex.HIDDEN}
         self.known = self.terms | set(self.by_anchor) | set(lex.ORDINARY) | set(lex.ADDRESS) | set(lex.SOBER)
         self.slips = {t for t in (*lex.INSULTS, *lex.DEROGATORY, *lex.HIDDEN, *lex.DOUBTFUL) if len(t) >= 6}
+        self.doubled = {t for t in self.terms if len(t) >= 5} | set(lex.SHORT)
         self.trie = Trie(sorted(t for t in self.terms if len(t) >= 3))
         self.slip_trie = Trie(sorted(self.slips))
         self.sober = set(lex.SOBER)
@@ -98,9 +99,9 @@ class Lexicon:
                         return s
                     if len(s) >= 4 and (found := terms_within(self.trie, s, 1 if len(s) >= 6 else 0)):
                         return found[0][1]
-            if len(low) >= 6:
+            if len(low) >= 5:
                 for i in range(1, len(low)):
-                    if low[i] == low[i - 1] and low[:i] + low[i + 1 :] in self.slips:
+                    if low[i] == low[i - 1] and low[:i] + low[i + 1 :] in self.doubled:
                         return low[:i] + low[i + 1 :]
             if len(low) >= 7 and raw[0].islower():
                 found = [t for _, t in terms_within(self.slip_trie, low, 1) if t[0] == low[0] and len(t) >= 7]

@@ -49,6 +49,9 @@ langue ejacule couilles
 shit bullet throat ashamed gueule crever creve verrecke verrecken verpiss fresse klappe schnauze
 """.split()
 
+# Short words that are mended where one letter is doubled.
+SHORT = "shit fuck cunt cock dick slut twat tits suck lick scum".split()
+
 # Ordinary words within one edit of a term.
 ORDINARY = """
 wander wanders wanner wankel banker tanker ranker custard bustard mustard dastard magnot cretan cretans
@@ -132,7 +135,7 @@ RULES = [
     ("hateful", 0.9, rf"\bwe (?:do not|don t|will not|never) (?:hire|employ|serve|rent to|sell to|want|admit) (?:{_W} ){{1,5}}they (?:are|re|stink|steal|spread|breed)\b", "hire employ serve rent sell want admit"),
     ("hateful", 1.0, r"\bbelongs? in (?:a |an |the )?(?:cages?|gutter|sty|sties|zoo|sewers?|camps?|ovens?|kennels?|stables?|graves?|jungle)\b", "cage cages gutter sty sties zoo sewer sewers camp camps oven ovens kennel kennels stable stables grave graves jungle"),
     ("hateful", 1.0, rf"\bthe only good (?:{_W} ){{1,5}}(?:are|is) (?:a |an )?dead\b", "dead"),
-    ("hateful", 1.0, rf"\bsend (?:every last one of|them all|them|all (?:of )?(?:the|these|those)) (?:{_W} ){{0,6}}?(?:in a box|to rot|back to the (?:swamp|jungle|desert|hole|gutter|sewer)[^.]*|they crawled)\b", "box rot swamp jungle desert hole gutter sewer crawled"),
+    ("hateful", 1.0, rf"\bsend (?:every last one of|them all|them|all (?:of )?(?:the|these|those)) (?:{_W} ){{0,12}}?(?:in a box|to rot|back to the (?:swamp|jungle|desert|hole|gutter|sewer)[^.]*|they crawled)\b", "box rot swamp jungle desert hole gutter sewer crawled"),
     ("hateful", 1.0, rf"\bno (?:{_W} ){{1,5}}in our (?:street|town|village|country|schools?|neighbourhood|house|city)\b", "street town village country school schools neighbourhood house city"),
     ("hateful", 1.0, r"\b(?:born criminals?|in their blood|poison the well for|stink and spread)\b|\ball (?:[^\s.]+ ){1,5}are (?:liars|thieves|rapists|criminals|murderers)\b", "criminal criminals blood poison stink liars thieves rapists murderers"),
     ("hateful", 1.0, r"\b(?:vermehren|vermehrt|verbreiten) sich wie (?:die )?(?:ratten|kaninchen|karnickel|kakerlaken|ungeziefer|fliegen|lause|unkraut|schmeissfliegen)\b", "vermehren vermehrt verbreiten"),
