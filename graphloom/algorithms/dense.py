@@ -175,14 +175,14 @@ def support_after_erase(edges: DataFrame, support: DataFrame, erased: DataFrame)
 
     edges: the symmetric table before the batch; support: its (src, dst, support);
     erased: (src, dst), src < dst.  Every broken triangle takes one from each of its
-    edges that stay.  Triangles are listed only around the endpoints of the batch.
+    edges that stay.  All edges of a broken triangle have an end in the batch, so
+    the supports among such edges, before less after, are what each edge loses;
+    these triangles are oriented by degree as well, so hubs cost no more.
     """
-    near = erased.select(F.explode(F.array("src", "dst")).alias("x")).distinct()
-    around = edges.join(near.withColumnRenamed("x", "src"), "src", "left_semi")
-    wings = erased.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(around.select(F.col("src").alias("a"), F.col("dst").alias("c")), "a").join(around.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"])
-    corners = F.sort_array(F.array("a", "b", "c"))
-    broken = wings.select(corners.alias("t")).distinct()
-    sides = broken.select(F.explode(F.array(F.struct(F.col("t")[0].alias("src"), F.col("t")[1].alias("dst")), F.struct(F.col("t")[0].alias("src"), F.col("t")[2].alias("dst")), F.struct(F.col("t")[1].alias("src"), F.col("t")[2].alias("dst")))).alias("e")).select("e.*")
-    lost = sides.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("lost"))
+    cutter = Cutter(edges.sparkSession, "support-erase")
+    near = erased.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+    around, _ = cutter.cut(_both(edges.join(near, "src", "left_semi").select("src", "dst")).distinct())
+    stay = around.join(_both(erased), ["src", "dst"], "left_anti")
+    lost = edge_support(stay).join(edge_support(around).withColumnRenamed("support", "was"), ["src", "dst"]).select("src", "dst", (F.col("was") - F.col("support")).alias("lost"))
     kept = support.join(erased, ["src", "dst"], "left_anti")
     return kept.join(lost, ["src", "dst"], "left").select("src", "dst", (F.col("support") - F.coalesce("lost", F.lit(0))).alias("support"))

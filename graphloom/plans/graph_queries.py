@@ -465,8 +465,8 @@ def g_betweenness_sampled(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def g_betweenness_exact(spark: SparkSession, d: str) -> DataFrame:
-    """All roots, on the graph of the joint purchases (the effort is vertices times edges)."""
-    return ranking.betweenness(copurchase(spark, d, 48)).withColumn("bc", F.round("bc", 6))
+    """All roots, on the whole graph (the effort is vertices times edges)."""
+    return ranking.betweenness(coo_graph(spark, d).simple()).withColumn("bc", F.round("bc", 6))
 
 
 # triangles, cores, trusses
@@ -509,6 +509,26 @@ def g_truss_3(spark: SparkSession, d: str) -> DataFrame:
     return dense.truss(copurchase(spark, d), 3)
 
 
+_SUP_WHOLE = _TRI + ", TE AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) AS n FROM (SELECT u AS a, v AS b FROM T UNION ALL SELECT u, w FROM T UNION ALL SELECT v, w FROM T) GROUP BY ALL), S AS (SELECT src, dst, coalesce(n, 0) AS support FROM U LEFT JOIN TE USING (src, dst) WHERE src < dst) "
+
+
+@register(_SUP_WHOLE + "SELECT * FROM S")
+def g_edge_support_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Supports of the whole edge table."""
+    return dense.edge_support(coo_graph(spark, d).simple().edges)
+
+
+@register(_SUP_WHOLE + "SELECT src, dst FROM S WHERE support >= 1")
+def g_truss_3_whole(spark: SparkSession, d: str) -> DataFrame:
+    return dense.truss(coo_graph(spark, d), 3)
+
+
+@register()
+def g_truss_4_whole(spark: SparkSession, d: str) -> DataFrame:
+    """More than one round: edges that leave break triangles of others."""
+    return dense.truss(coo_graph(spark, d), 4)
+
+
 @register()
 def g_truss_numbers(spark: SparkSession, d: str) -> DataFrame:
     return dense.truss_numbers(coo_graph(spark, d))
@@ -527,6 +547,18 @@ def g_support_after_erase(spark: SparkSession, d: str) -> DataFrame:
     return dense.support_after_erase(g.edges, dense.edge_support(g.edges), erased)
 
 
+_SUP_BASE = "+UB AS (SELECT src, dst FROM F WHERE base AND src <> dst UNION SELECT dst, src FROM F WHERE base AND src <> dst), " + _SUP_WHOLE[1:].replace("FROM U ", "FROM UB U ")
+
+
+@register(_SUP_BASE + "SELECT * FROM S")
+def g_support_after_erase_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Supports of the whole edge table kept up when the pairs outside the base files are erased."""
+    c = Cutter(spark, "support-erase")
+    edges, _ = c.cut(coo_graph(spark, d).simple().edges)
+    erased = edges.join(split_graph(spark, d)[0].simple().edges, ["src", "dst"], "left_anti").filter("src < dst")
+    return dense.support_after_erase(edges, dense.edge_support(edges), c.cut(erased)[0])
+
+
 @register()
 def g_core_numbers(spark: SparkSession, d: str) -> DataFrame:
     return dense.core_numbers(coo_graph(spark, d))
@@ -659,7 +691,7 @@ def g_dimacs10_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def g_peel_json(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.peel_json(dense.core_edge_peel(copurchase(spark, d)))
+    return sinks.peel_json(dense.core_edge_peel(coo_graph(spark, d)))
 
 
 # generators
