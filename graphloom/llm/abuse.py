@@ -42,6 +42,8 @@ _SPACED = re.compile(rf"(?<![^\s\"'(„“«»‹:,])(?:[^\W_]|[{_SIGNS}]) (?:(?
 _WORD_PARTS = re.compile(rf"[^\W_{_SIGNS}](?:[^\W_]|[{_SIGNS}])*|[{_SIGNS}](?:[^\W_]|[{_SIGNS}])*[^\W_](?:[^\W_]|[{_SIGNS}])*")
 _RUN = re.compile(r"(.)\1{2,}")
 _HYPHEN_BREAK = re.compile(r"(?<=[^\W\d_])-\r?\n[ \t]*(?=[^\W\d_])")
+_OPENS = re.compile(r"[\"“„«‹‘(\[]|'\w")
+_CLOSES = re.compile(r"[.!?;][\"”’»›')\]]*$|[\"”»›)\]][.,:;!?]*$")
 _QUOTED = re.compile(r"[\"“”„«»‘‹]|(?<!\w)'|\b(?:shouted|wrote|recalled|answered|voicemail|margin|reads|remark|note found|ran as follows|schrieb|vermerkt|wortlaut|nachricht|zettel|rapporte|redige|billet|marge|a ecrit)\b")
 
 
@@ -80,7 +82,11 @@ class Lexicon:
         self.doubled = {t for t in self.terms if len(t) >= 5} | set(lex.SHORT)
         self.trie = Trie(sorted(t for t in self.terms if len(t) >= 3))
         self.slip_trie = Trie(sorted(self.slips))
-        self.sober = set(lex.SOBER)
+        self.excuses: dict[str, set[str]] = {}
+        for nouns, words in lex.EXCUSES:
+            for noun in nouns.split():
+                self.excuses.setdefault(noun, set()).update(words.split())
+        self.addressed = set(lex.ADDRESS) - {"ihr"} | {"bist"}
         self.words: dict[str, str] = {}
         self.plain: set[str] = set()
         self.hot: dict[str, tuple[int, ...]] = {}
@@ -209,13 +215,40 @@ class Lexicon:
             kept.clear()
         kept[key] = value
 
+    def _excused(self, parts: list[tuple[str, str]], m: re.Match) -> bool:
+        """Whether a doubtful noun of the match has an innocent sense in its own sentence or quotation.
+
+        parts: the context as (restored, written) chunks.  A match that addresses somebody is never excused.
+        """
+        matched = m[0].replace(".", "").split()
+        if self.addressed & set(matched) or matched[0] == "ihr" and matched[-1] not in lex.HERS:
+            return False
+        words = set().union(*(self.excuses.get(w, ()) for w in matched))
+        if not words:
+            return False
+        stops = "." in m.string
+        at, segment, own, segments = 0, 0, set(), []
+        for restored, written in parts:
+            text = restored if stops else restored.replace(".", "")
+            if _OPENS.match(written):
+                segment += 1
+            segments.append(segment)
+            if at < m.end() and at + len(text) > m.start():
+                own.add(segment)
+            at += len(text) + 1
+            if _CLOSES.search(written):
+                segment += 1
+        near = " ".join(r.replace(".", "") for (r, _), k in zip(parts, segments, strict=True) if k in own)
+        return not words.isdisjoint(near.split())
+
     def _windows(self, words: list[str], hot: dict[str, tuple[int, ...]]) -> tuple[float, float, float, str | None, int]:
         found: dict[tuple[int, int, str], tuple[float, str, bool]] = {}
         for at in [i for i, w in enumerate(words) if w in hot]:
             rules = hot[words[at]]
             first = max(0, at - WINDOW)
             context = words[first : at + WINDOW + 1]
-            said = " ".join(r for r in (self.restore(x) for x in context) if r)
+            parts = [(r, x) for x in context if (r := self.restore(x))]
+            said = " ".join(r for r, _ in parts)
             flat = said.replace(".", "")
             quoted = None
             for i in rules:
@@ -224,7 +257,7 @@ class Lexicon:
                 if not m:
                     continue
                 weight = rule.weight
-                if rule.doubtful and self.sober & set(flat[max(0, m.start() - 60) : m.end() + 60].split()):
+                if rule.doubtful and self._excused(parts, m):
                     weight *= SOBER_FACTOR
                 if quoted is None:
                     quoted = bool(_QUOTED.search(fold(" ".join(words[max(0, at - WINDOW) : at + 1]))))

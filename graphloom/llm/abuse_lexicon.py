@@ -79,13 +79,29 @@ creme crevette crevasse crible
 
 ADDRESS = "you your youre yourself u du dich dir dein deine deiner deinen ihr euch tu toi te ton ta tes vous t'es".split()
 
-# Words that show an innocent sense of a doubtful noun near by.
+# Words of sober texts, which are no misspelled terms.
 SOBER = """
 file rasp spaniel whelped registered kennel breed described wedlock born estate namely mice crop sprayed aviary rooster stopcock ball replaced
 valve diagnosis infection screening cancer genital charged count indictment prosecution trial witness pferdes operation tierarzt geschlachtet
 stall cheval amarrage photographie veterinaire kuhlhaus marchandises spoiled verdorben strayed pack prize surname
 """.split()
 
+# (doubtful nouns, words of the same sentence that show their innocent sense).
+EXCUSES = [
+    ("bastard bastards", "file rasp wedlock born"),
+    ("bitch bitches dog ass", "spaniel whelped kennel breed registered strayed"),
+    ("pig pigs swine cow rat rats animal animals snake toad", "breed strayed prize pack crop mice"),
+    ("vermin rat rats cockroach cockroaches maggot maggots worm worms leech leeches parasite parasites", "mice crop sprayed namely spoiled infection diagnosis screening"),
+    ("cock", "aviary rooster stopcock ball valve replaced"),
+    ("dick dicks cock prick pricks pussy", "surname genital diagnosis screening"),
+    ("shit dirt filth", "spoiled"),
+    ("schwein schweine sau ratte ratten hund hunde kuh ziege esel rindvieh kamel", "pferdes operation tierarzt geschlachtet stall"),
+    ("ungeziefer parasit parasiten maden zecke wanze ratte ratten dreck mist", "kuhlhaus verdorben stall"),
+    ("cochon porc chien chienne rat vermine cafard charogne", "cheval veterinaire marchandises photographie"),
+]
+# Nouns before which "ihr" may mean "her" as well as "you".
+HERS = "schwein hund esel parasit rindvieh kamel ungeziefer dreck mist".split()
+
 _INS = "(?:" + "|".join([*INSULTS, "piece of shit", "pieces of shit", "son of a bitch", "sons of bitches", "stuck scheisse", "stuck dreck", "fils de pute", "tas de merde", "trou du cul", "sac a merde", "fils de chien"]) + ")"
 _DBT = "(?:" + "|".join(dict.fromkeys(DOUBTFUL)) + ")"
 _DER = "(?:" + "|".join(DEROGATORY) + ")"
