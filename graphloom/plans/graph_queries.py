@@ -418,6 +418,31 @@ def g_page_rank_dynamic(spark: SparkSession, d: str) -> DataFrame:
     return ranking.page_rank(g.insert(batch), rounds=3, threshold=None, start=before).withColumn("rank", F.round("rank", 10))
 
 
+# The default job: up to 20 rounds, ended by the sum of changes.  SQL unrolls a fixed number of rounds and has no such end.
+
+
+@register()
+def g_page_rank_default(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.page_rank(coo_graph(spark, d)).withColumn("rank", F.round("rank", 10))
+
+
+@register()
+def g_page_rank_pull_default(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.page_rank(coo_graph(spark, d), mode="pull").withColumn("rank", F.round("rank", 10))
+
+
+@register()
+def g_page_rank_top_default(spark: SparkSession, d: str) -> DataFrame:
+    r = ranking.page_rank(coo_graph(spark, d))
+    return r.orderBy(F.desc("rank"), "id").limit(10).withColumn("rank", F.round("rank", 10))
+
+
+@register()
+def g_page_rank_dynamic_default(spark: SparkSession, d: str) -> DataFrame:
+    g, batch = split_graph(spark, d)
+    return ranking.page_rank(g.insert(batch), start=ranking.page_rank(g)).withColumn("rank", F.round("rank", 10))
+
+
 def _katz_sql(rounds: int) -> str:
     out = "+A AS (SELECT 1.0::DOUBLE / (max(n) + 1) AS alpha, max(n) AS top FROM (SELECT count(*) AS n FROM U GROUP BY src)), K0 AS (SELECT id, 1.0::DOUBLE AS paths FROM V)"
     for i in range(1, rounds + 1):
@@ -431,25 +456,40 @@ def g_katz(spark: SparkSession, d: str) -> DataFrame:
     return ranking.katz(coo_graph(spark, d).simple(), rounds=5).withColumns({c: F.round(c, 9) for c in ("score", "lower", "upper")})
 
 
+@register()
+def g_katz_default(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.katz(coo_graph(spark, d).simple()).withColumns({c: F.round(c, 9) for c in ("score", "lower", "upper")})
+
+
 @register()
 def g_katz_top(spark: SparkSession, d: str) -> DataFrame:
     k = ranking.katz(coo_graph(spark, d).simple(), rounds=20, top_k=10)
     return k.orderBy(F.desc("lower"), "id").limit(10).select("id", F.round("lower", 9).alias("lower"))
 
 
-@register(_katz_sql(3) + " SELECT id, round(score, 9) AS score FROM KS")
-def g_katz_dynamic(spark: SparkSession, d: str) -> DataFrame:
+def _katz_dynamic(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     """Katz of the whole graph, reached from that of the base files by their batch."""
     c = Cutter(spark, "katz-dynamic")
     g, batch = split_graph(spark, d)
     old = Graph(g.vertices, c.cut(g.simple().edges)[0])
     new = Graph(g.vertices, c.cut(g.insert(batch).simple().edges)[0])
     added = new.edges.join(old.edges, ["src", "dst"], "left_anti")
-    levels = ranking.katz_levels(old, 3, 0)
+    levels = ranking.katz_levels(old, rounds, 0)
     now = ranking.katz_update(levels, old.edges, added, old.edges.limit(0))
     return ranking.katz_scores(now, new.max_degree().first().degree).withColumn("score", F.round("score", 9))
 
 
+@register(_katz_sql(3) + " SELECT id, round(score, 9) AS score FROM KS")
+def g_katz_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    return _katz_dynamic(spark, d, 3)
+
+
+@register()
+def g_katz_dynamic_default(spark: SparkSession, d: str) -> DataFrame:
+    """The rounds of the static default, which are one less than its 50."""
+    return _katz_dynamic(spark, d, 49)
+
+
 @register()
 def g_betweenness(spark: SparkSession, d: str) -> DataFrame:
     """One root: the vertex of the largest degree."""

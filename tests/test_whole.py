@@ -121,3 +121,48 @@ def test_peel_of_the_whole_table(run):
 
 def test_betweenness_of_all_roots_on_the_whole_table(run):
     assert {r.id: r.bc for r in run("g_betweenness_exact").collect()} == pytest.approx(brandes(), abs=1e-5)
+
+
+def pages(rows, mode="push", start=None):
+    """Up to 20 rounds, ended at a change of 0.001."""
+    out = {v: [r[1] for r in rows if r[0] == v] for v in range(N)}
+    rank = dict(start or dict.fromkeys(range(N), 1 / N))
+    for _ in range(20):
+        new = dict.fromkeys(range(N), 0.15 / N)
+        for v, targets in out.items():
+            for w in targets:
+                if mode == "push":
+                    new[w] += 0.85 * rank[v] / len(targets)
+                elif out[w]:
+                    new[v] += 0.85 * rank[w] / len(out[w])
+        change, rank = sum(abs(new[v] - rank[v]) for v in rank), new
+        if change <= 0.001:
+            break
+    return rank
+
+
+def katz_scores(rounds=49):
+    near = neighbours(pairs())
+    alpha = 1 / (max(map(len, near.values())) + 1)
+    paths, score = dict.fromkeys(near, 1.0), dict.fromkeys(near, 0.0)
+    for i in range(1, rounds + 1):
+        paths = {v: sum(paths[w] for w in near[v]) for v in near}
+        score = {v: score[v] + alpha**i * paths[v] for v in near}
+    return score
+
+
+@pytest.mark.parametrize("name", ["g_page_rank_default", "g_page_rank_pull_default", "g_page_rank_dynamic_default"])
+def test_page_rank_runs_to_its_default_end(run, name):
+    start = pages([r for r in ROWS if r[3] == 1]) if "dynamic" in name else None
+    want = pages(ROWS, "pull" if "pull" in name else "push", start)
+    assert {r.id: r["rank"] for r in run(name).collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_page_rank_top_of_the_default(run):
+    top = sorted(pages(ROWS).items(), key=lambda x: (-round(x[1], 12), x[0]))[:10]
+    assert [(r.id, r["rank"]) for r in run("g_page_rank_top_default").collect()] == [(v, pytest.approx(x, abs=1e-9)) for v, x in top]
+
+
+@pytest.mark.parametrize("name", ["g_katz_default", "g_katz_dynamic_default"])
+def test_katz_runs_its_default_rounds(run, name):
+    assert {r.id: r.score for r in run(name).collect()} == pytest.approx(katz_scores(), abs=1e-8)
