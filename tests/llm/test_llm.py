@@ -1,6 +1,8 @@
 """The training-data operators against brute force and in edge cases."""
 
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.llm import abuse, format_duplicates, link_groups, mixing, packing, tokens, top_items
-from graphloom.llm.automaton import Trie, terms_within
+from graphloom.llm.automaton import Neighbourhood, Trie, terms_within
+
+sys.path.insert(0, str(Path(__file__).parent))
+from abuse_held_out import HELD_OUT, HELD_OUT_2  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = f"{tokens.VOCABULARIES}/{tokens.VOCABULARY}"
@@ -204,33 +209,39 @@ def test_mix_reaches_its_shares(spark):
 # abuse
 
 
-def test_automaton_equals_brute_force():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
+def edits(a, b):
+    """Least insertions, deletions, changes and swaps of neighbours, none inside a swap."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
 
+def test_automaton_equals_brute_force():
     rng = random.Random(2)
     terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(80)})
     trie = Trie(terms)
     for _ in range(150):
         w = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 7)))
         for k in (0, 1, 2):
-            assert terms_within(trie, w, k) == sorted((distance(w, t), t) for t in terms if distance(w, t) <= k)
+            near = sorted((edits(w, t), t) for t in terms if edits(w, t) <= k)
+            assert terms_within(trie, w, k) == near
+            if near:
+                assert Neighbourhood(terms, k).may_hold(w)
 
 
 @pytest.mark.parametrize(
     "written, term",
-    [("sсumbаg", "scumbag"), ("m*therf*cker", "motherfucker"), ("$cumb4g", "scumbag"), ("1mb3c1le", "imbecile"), ("whhhhhore", "whore"), ("baStaRD", "bastard"), ("cré­tin", "cretin"), ("s.l.u.t", "slut"), ("disgustiing", "disgusting"), ("Ungеzіеfеr", "ungeziefer")],
+    [("sсumbаg", "scumbag"), ("m*therf*cker", "motherfucker"), ("$cumb4g", "scumbag"), ("1mb3c1le", "imbecile"), ("whhhhhore", "whore"), ("baStaRD", "bastard"), ("cré­tin", "cretin"), ("s.l.u.t", "slut"), ("disgustiing", "disgusting"), ("Ungеzіеfеr", "ungeziefer"), ("Bastrad", "bastard"), ("VOLLIDOIT", "vollidiot"), ("Hurensonh", "hurensohn"), ("Dorftrottel", "trottel"), ("motherfukcer", "motherfucker")],
 )
 def test_hidden_words_are_restored(written, term):
     assert abuse.lexicon().restore(written) == term
 
 
-@pytest.mark.parametrize("word", ["Penter", "parties", "Cockburne", "Shitterley", "2009-LT-00000002", "61,246", "banker", "notice", "Karten", "bitte", "Massachusetts"])
+@pytest.mark.parametrize("word", ["Penter", "parties", "Cockburne", "Shitterley", "2009-LT-00000002", "61,246", "banker", "notice", "Karten", "bitte", "Massachusetts", "where", "shore", "crowns", "x" * 5000, "*" * 5000])
 def test_ordinary_words_stay(word):
     assert not abuse.lexicon().restore(word) in abuse.lexicon().terms
 
@@ -241,6 +252,14 @@ def test_labelled_samples(spark):
     assert len(wrong) <= 0.02 * len(rows)
 
 
+@pytest.mark.parametrize("sentences", [HELD_OUT, HELD_OUT_2])
+def test_held_out_sentences(sentences):
+    flagged = [(c, abuse.lexicon().score(t)[0] >= abuse.THRESHOLD) for c, t in sentences]
+    true = sum(hit for c, hit in flagged if c != "none")
+    assert true >= 0.9 * sum(c != "none" for c, _ in sentences)
+    assert true >= 0.9 * sum(hit for _, hit in flagged)
+
+
 @pytest.mark.parametrize(
     "text, case",
     [("you s t u p i d  f o o l, you are a d i r t b a g", True), ("only a worth-\nless cock-\nroach would sign", True), ("The bastard file and the rasp.", False), ("A pack ass strayed.", False), ("x " * 50_000 + "you filthy cretin", True), ("", False), ("   \n", False), ("*** ### $$$ ---", False)],
@@ -258,8 +277,8 @@ def test_quotation_is_told_from_direct_use():
 def test_scores_of_nulls_and_clashes(spark, rows):
     df = spark.createDataFrame([(1, None, None), (2, "you idiot", "s"), (2, "you idiot", "s"), (3, "", None)], "doc_id bigint, text string, source string")
     assert rows(abuse.abusive_texts(df)) == [(2,), (2,)]
-    rates = {r.source: (r.n_texts, r.n_flagged, r.rate) for r in abuse.rates_by_source(abuse.score_texts(df, keep=("doc_id", "source"))).collect()}
-    assert rates == {None: (2, 0, 0.0), "s": (2, 2, 1.0)}
+    rates = {r.source: (r.n_texts, r.n_flagged, r.rate, r.n_direct, r.n_quoted) for r in abuse.rates_by_source(abuse.score_texts(df, keep=("doc_id", "source"))).collect()}
+    assert rates == {None: (2, 0, 0.0, 0, 0), "s": (2, 2, 1.0, 2, 0)}
     assert rows(abuse.abusive_texts(df.limit(0))) == []
     with pytest.raises(ValueError):
         abuse.score_texts(df.withColumn("score", F.lit(1)), keep=("doc_id", "score"))
