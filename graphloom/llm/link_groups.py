@@ -4,20 +4,25 @@ Each vertex knows a cluster, at first its neighbours.  In a round every vertex
 sends its cluster to the smallest member, and that smallest member to all the
 others.  After a round the clusters are symmetric, so the state is kept as a
 table of distinct pairs (a < b); the cluster of a vertex is the vertex and
-everything it is paired with.  The state is final when every vertex that is not
-the smallest of its cluster has exactly one partner: all pairs then form stars
-around the group identifiers.
+everything it is paired with.
+
+A pair is closed when both ends sent it: the smaller one as the smallest of its
+cluster, the larger one as a vertex that knows nobody else.  A vertex all of whose
+pairs are closed is the centre of a star that no other pair can reach, so the star
+is a finished group; its rows leave the state, and later rounds work on the rest
+only.  The loop ends when no pair is left.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..operators.skew import HEAVY_ROWS, heavy_threshold, join_counted
 from ..plans.loops import Cutter
 
+_CENTRE, _LEAF, _CLOSED, _DONE = 1, 2, 3, 4
+
 
 def link_groups(pairs: DataFrame, left: str = "index1", right: str = "index2", heavy_rows: int = HEAVY_ROWS, max_rounds: int = 200) -> DataFrame:
     """(group_id, vertex_id): the smallest vertex linked with each vertex, directly or not.
@@ -35,27 +40,37 @@ def link_groups(pairs: DataFrame, left: str = "index1", right: str = "index2", h
     cutter = Cutter(spark, "link-groups")
     x, y = F.col(left).cast("bigint"), F.col(right).cast("bigint")
     linked = pairs.select(x.alias("x"), y.alias("y")).filter("x is not null and y is not null")
-    loops = linked.filter("x = y").select(F.col("x").alias("vertex_id")).distinct()
-    state, path = cutter.cut(linked.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    first = linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("flags", F.lit(0))
+    state, path, seen = cutter.cut_counting(first, n=F.count(F.lit(1)))
+    done = []
     for _ in range(max_rounds):
-        both = state.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("e")).select("e.v", "e.u")
-        minima = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-        stats = minima.agg(F.count_if((F.col("m") < F.col("v")) & (F.col("n") > 1)), F.sum("n"), F.max("n")).first()
-        if not stats[0]:
-            done, _ = cutter.cut(minima.select(F.col("m").alias("group_id"), F.col("v").alias("vertex_id")))
-            minima.unpersist()
-            cutter.drop(path)
-            alone = loops.join(done.select("vertex_id"), "vertex_id", "left_anti").select(F.col("vertex_id").alias("group_id"), "vertex_id")
-            return done.unionByName(alone)
-        threshold = heavy_threshold(stats[1], heavy_rows)
-        joined = join_counted(both, minima, "v", "n", threshold, stats[2] >= threshold)
-        sent = joined.filter("m <> u").select(F.least("m", "u").alias("a"), F.greatest("m", "u").alias("b"))
-        own = minima.filter("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        if not seen["n"]:
+            break
+        open_ = state.filter(F.col("flags") < _DONE)
+        closed = (F.col("flags") == _CLOSED).cast("int")
+        ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u"), closed.alias("c")), F.struct(F.col("b").alias("v"), F.col("a").alias("u"), F.lit(0).alias("c")))
+        both = open_.select(F.explode(F.when(F.col("a") < F.col("b"), ends).otherwise(F.slice(ends, 1, 1))).alias("e")).select("e.v", "e.u", "e.c")
+        minima = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count_if(F.col("u") != F.col("v")).alias("n"), F.sum("c").alias("c"))
+        minima = minima.select("v", "m", "n", ((F.col("m") == F.col("v")) & (F.col("c") == F.col("n"))).alias("star"))
+        minima, own_path, most = cutter.cut_counting(minima, total=F.sum("n"), n=F.max("n"))
+        threshold = heavy_threshold(most["total"], heavy_rows)
+        joined = join_counted(both.select("v", "u"), minima.withColumn("k", F.col("n")), "v", "k", threshold, most["n"] >= threshold)
+        centre = F.col("m") == F.col("v")
+        sent = joined.filter("m <> u and u <> v").select(F.least("m", "u").alias("a"), F.greatest("m", "u").alias("b"), F.when(F.col("star"), _DONE).when(centre, _CENTRE).otherwise(0).alias("flags"))
+        # A finished centre has a row of its own; every other vertex sends the smallest member to itself.
+        own = minima.filter("star or m <> v").select(F.col("m").alias("a"), F.col("v").alias("b"), F.when(F.col("star"), _DONE).when(F.col("n") == 1, _LEAF).otherwise(0).alias("flags"))
         previous = path
-        state, path = cutter.cut(sent.unionByName(own).distinct())
-        minima.unpersist()
-        cutter.drop(previous)
-    raise RuntimeError(f"not stable after {max_rounds} rounds")
+        state, path, seen = cutter.cut_counting(sent.unionByName(own).groupBy("a", "b").agg(F.bit_or("flags").alias("flags")), n=F.count_if(F.col("flags") < _DONE), done=F.count_if(F.col("flags") >= _DONE))
+        cutter.drop(previous if not done or done[-1] != previous else None, own_path)
+        if seen["done"]:
+            done.append(path)
+    else:
+        if seen["n"]:
+            raise RuntimeError(f"not stable after {max_rounds} rounds")
+    if not done:
+        return spark.createDataFrame([], "group_id bigint, vertex_id bigint")
+    rows = spark.read.schema(state.schema).parquet(*done).filter(F.col("flags") >= _DONE)
+    return rows.select(F.col("a").alias("group_id"), F.col("b").alias("vertex_id"))
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:
