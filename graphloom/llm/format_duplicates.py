@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from ..operators.key_filter import keys_among
 from ..operators.skew import HEAVY_ROWS, heavy_threshold, join_counted
+from ..plans.loops import Cutter
 
 #: Fixed names of the fields as the exporters write them.
 FIELDS = ("graph", "index1", "index2", "direction")
@@ -67,17 +68,25 @@ def distinct_records(records: DataFrame, id_col: str = "record_id", text: str =
 def copies(records: DataFrame, id_col: str = "record_id", text: str = "record_text", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(first_id, copy_id) for each row that equals one with a smaller id.
 
-    The rows of a text are joined with the first id of its record; texts with
-    ``heavy_rows`` copies or more take a broadcast join of bounded size, so that
-    no group of copies comes into one task.
+    A text that occurs once is known by its id; only the rows of repeated texts are
+    joined with the first id of their record.  Bitmaps of bounded size (see
+    :mod:`key_filter`) keep rows without copies out of the shuffles.  Texts with
+    ``heavy_rows`` copies or more take a broadcast join of bounded size, so that no
+    group of copies comes into one task.  Null ids and texts are no case.
     """
-    texts = distinct_texts(records, id_col, text).persist(StorageLevel.MEMORY_AND_DISK)
-    total, most = texts.agg(F.sum("n"), F.max("n")).first()
-    threshold = heavy_threshold(total or 0, heavy_rows)
-    firsts = texts.groupBy("canonical").agg(F.min("least_id").alias("first_id"), F.count(F.lit(1)).alias("spellings"))
-    heavy_spellings = heavy_threshold(total or 0, heavy_rows)
-    widest = firsts.agg(F.max("spellings")).first()[0] or 0
-    per_text = join_counted(texts, firsts, "canonical", "spellings", heavy_spellings, widest >= heavy_spellings).select("record_text", "n", "first_id")
-    rows = records.select(F.col(id_col).alias("copy_id"), F.col(text).alias("record_text")).filter("record_text is not null")
-    found = join_counted(rows, per_text, "record_text", "n", threshold, (most or 0) >= threshold)
-    return found.filter("copy_id <> first_id").select("first_id", "copy_id")
+    cutter = Cutter(records.sparkSession, "copies")
+    texts = distinct_texts(records.filter(F.col(id_col).isNotNull()), id_col, text)
+    once = F.col("n") == 1
+    kept = texts.select("canonical", "n", "least_id", F.when(~once, F.col("record_text")).alias("record_text"))
+    texts, path, seen = cutter.cut_counting(kept, total=F.sum("n"), most=F.max("n"))
+    threshold = heavy_threshold(seen["total"] or 0, heavy_rows)
+    groups = texts.groupBy("canonical").agg(F.min("least_id").alias("first_id"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("copies"))
+    firsts, firsts_path, wide = cutter.cut_counting(groups.filter("copies > 1").drop("copies"), n=F.count(F.lit(1)), most=F.max("spellings"))
+    candidates = keys_among(texts, firsts, "canonical", wide["n"])
+    known, _, many = cutter.cut_counting(join_counted(candidates, firsts, "canonical", "spellings", threshold, (wide["most"] or 0) >= threshold).select("n", "least_id", "record_text", "first_id"), n=F.count_if(F.col("n") > 1))
+    cutter.drop(path, firsts_path)
+    single = known.filter("n = 1 and least_id <> first_id").select("first_id", F.col("least_id").alias("copy_id"))
+    repeated = known.filter("n > 1").select("record_text", "n", "first_id")
+    rows = records.select(F.col(id_col).alias("copy_id"), F.col(text).alias("record_text")).filter("copy_id is not null")
+    found = join_counted(keys_among(rows, repeated, "record_text", many["n"]), repeated, "record_text", "n", threshold, (seen["most"] or 0) >= threshold)
+    return found.filter("copy_id <> first_id").select("first_id", "copy_id").unionByName(single)
