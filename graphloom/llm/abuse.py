@@ -57,8 +57,12 @@ _CLOSES = re.compile(r"[\"”»›’')\]][.,:;!?]*$|[”»›]")
 _STOPS = re.compile(r"[.!?;][\"”’»›')\]]*$")
 _MARKS = re.compile(r"[\"“”„«»‘‹›]|(?<!\w)'|\(")
 
-_WEIGHTY = frozenset("slur mild beast tame moral slang group harm hurt miss wish live deserve alive low purge breed taint crude lewd part act solo hint favour punish pen bare expel crime".split())
+_WEIGHTY = frozenset("slur mild beast tame moral slang group harm hurt miss wish live deserve alive low purge breed taint crude lewd part act solo favour punish pen bare crime".split())
 _NOUNS = {"slur": 1.0, "slang": 1.0, "mild": 0.6, "beast": 0.4, "tame": 0.3}
+_HARM = frozenset("harm hurt".split())
+_WISHES = frozenset("wish deserve miss know favour shame".split())
+_SAID_OF_GROUPS = frozenset("low beast breed crime taint purge expel pen slang harm".split())
+_BODIES = frozenset("crude lewd part act solo bare hint".split())
 _SLIPPED = frozenset("slur mild beast moral slang low crude lewd".split())
 _OWN = frozenset("my your his her their ma ta sa mon ton son mein meine meinen meiner dein deine deinen deiner sein seine seinen seines ihre ihren ihr".split())
 _OBJECT = frozenset("me him her them you mich dich sie ihn ihr mir dir la le lui te vous herself himself myself".split())
@@ -165,6 +169,7 @@ class Passage:
         roles = lexicon.roles_of(self.w, self.span)
         none = frozenset()
         self.r = [roles.get(w, none) for w in self.w]
+        self.all = none.union(*self.r)
         self.hits: list[tuple[str, float, str]] = []
 
     def any_word(self, words, lo: int, hi: int) -> bool:
@@ -199,12 +204,18 @@ class Passage:
 
     def score(self) -> dict[str, float]:
         self.idioms()
-        self.nouns()
-        self.adjectives()
-        self.threats()
-        self.wishes()
-        self.groups()
-        self.bodies()
+        if self.all & _NOUNS.keys():
+            self.nouns()
+        if "moral" in self.all:
+            self.adjectives()
+        if self.all & _HARM:
+            self.threats()
+        if self.all & _WISHES or any(w in ("you", "du", "tu", "toi", "vous", "better", "besser", "mieux") for w in self.w):
+            self.wishes()
+        if self.all & _SAID_OF_GROUPS or not lex.STARTS_OF_GROUPS.isdisjoint(self.w):
+            self.groups()
+        if self.all & _BODIES:
+            self.bodies()
         best: dict[str, float] = {}
         for category, weight, _ in self.hits:
             best[category] = max(best.get(category, 0.0), weight)
@@ -580,9 +591,12 @@ class Lexicon:
                 parts = [frozenset(x.split("|")) for x in row.split()]
                 for first in parts[0]:
                     self.idioms.setdefault(first, []).append((category, weight, parts))
-        self.starts = {w for w in self.idioms if w in self.terms} | {next(iter(p[-1])) for rows in self.idioms.values() for _, _, p in rows}
-        self.starts |= {w for rows in self.idioms.values() for _, _, p in rows for w in p[-1]} - small - {"you", "dich", "it", "off", "up", "her", "mich", "toi", "and"}
-        self.starts |= {"dead", "mort", "toter", "totes", "tote", "better", "besser", "mieux", "knows", "belong", "belongs", "gehoren", "gehorst", "raus", "dehors", "fuck", "screw", "piss", "fick", "verpiss", "verpisst", "leck"}
+        # One word of every idiom, and the few words without a weighty role, that make a passage worth reading.
+        common = small | {*lex.YOU, *lex.FILLERS, *lex.BE, *lex.SAYING, *lex.WEAK_STARTS}
+        self.starts = set(lex.STARTS)
+        for rows in self.idioms.values():
+            for _, _, parts in rows:
+                self.starts |= next((p for p in reversed(parts) if common.isdisjoint(p)), frozenset()) or frozenset().union(*parts) - common
         self.saying = set(lex.SAYING)
         self.chunks: dict[str, Chunk] = {}
         self.plain: set[str] = set()

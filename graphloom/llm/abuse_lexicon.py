@@ -79,7 +79,7 @@ TERMS = [
     ("live", "*", "-", """live lives sleep sleeps work works school park parks wohnst wohnt wohnen schlafst schlaft schlafen arbeitest arbeitet habites habite habitent dort dorment dors
      vis vit vivent travailles travaille"""),
     ("know", "*", "-", "know knows weiss wissen sais savons"),
-    ("alive", "*", "-", "alive breathing walking around living born birth breathe lebst atmest existierst geboren vis vives vivre respires naitre ne existes exist"),
+    ("alive", "*", "-", "alive breathing walking around living born birth breathe lebst atmest existierst geboren vis vives vivre respires naitre existes exist"),
     ("shame", "*", "-", "ashamed shame pity disgrace schamt schamen schame schande honte dommage"),
     ("favour", "*", "-", "favour favor gefallen service"),
     ("deserve", "*", "-", "deserve deserves deserved verdienst verdient merites merite meriterais meritez"),
@@ -93,7 +93,7 @@ TERMS = [
      kruppel weiber frauen schwarze schwarzen polen russen roma sinti"""),
     ("group", "fr", "-", """immigres migrants refugies etrangers juifs musulmans arabes noirs gitans tsiganes roms homosexuels gays lesbiennes handicapes infirmes femmes turcs
      africains"""),
-    ("folk", "*", "-", "people families family folk men tribe lot bunch race kind leute familien volk pack gens familles bande"),
+    ("folk", "*", "-", "people families family folk men tribe lot bunch race kind leute menschen familien volk pack gens familles bande"),
     ("slang", "*", "n", "nigger kike wetback chink gook raghead towelhead faggot poofter tranny gyppo pikey"),
     ("slang", "*", "-", "kanake kanaken schwuchtel schwuchteln schlitzauge schlitzaugen negerpack zigeunerpack judensau bougnoule bougnoules youpin youpins tapette tapettes tarlouze pede pedes gouine gouines maricon maricones frocio froci"),
     ("low", "en", "n", "subhuman bloodsucker barbarian ape degenerate"),
@@ -239,3 +239,10 @@ SMALL = {
     "de": "der die das und ist ein eine zu den dem nicht mit du dich ich er sie auf von im dir wie wo ihr sind wir dein deine diese so hat".split(),
     "fr": "le la les de et un une des est que je tu il elle ne pas du au ce ces sur dans vous te ta ma sont qui en d l qu ton mon sa".split(),
 }
+
+#: Words without a weighty role of their own that may carry a passage.
+STARTS = """dead mort morte morts toter totes tote better besser mieux knows belong belongs gehoren gehorst gehort raus dehors deported expelled abgeschoben expulser
+inside spread gas hire employ serve rent vermietet vermieten bedienen embauchons louons street village school schools people leute menschen gens hommes""".split()
+STARTS_OF_GROUPS = frozenset("dead mort morte morts toter totes tote belong belongs gehoren gehort no keine kein hire employ serve rent vermietet vermieten bedienen embauchons louons burn gas subhuman subhumans send throw ship".split())
+#: Words of idioms that are too common to carry a passage.
+WEAK_STARTS = "up off it me him back out came come where they her his die do go get la mit and mere race yourself mouth face trap man".split()
