@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import floor_log2
 from ..graph import Graph
 from ..operators.ordering import with_index
 from ..operators.skew import HEAVY_ROWS, heavy_threshold, join_counted
@@ -77,7 +78,7 @@ def component_statistics(found: DataFrame) -> DataFrame:
 def component_histogram(found: DataFrame) -> DataFrame:
     """(log2_size, n_components): components by the logarithm of their size, rounded down."""
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy(F.floor(F.log2("size")).cast("int").alias("log2_size")).agg(F.count(F.lit(1)).alias("n_components"))
+    return sizes.groupBy(floor_log2(F.col("size")).cast("int").alias("log2_size")).agg(F.count(F.lit(1)).alias("n_components"))
 
 
 def strong_components(g: Graph, max_rounds: int = 10_000) -> DataFrame:

@@ -66,8 +66,10 @@ def core_numbers_of(edges: DataFrame, start: DataFrame | None = None, max_rounds
 
     Iterated h-index: a vertex takes the largest h such that h of its neighbours
     have at least h; started from the degrees this falls to the core number, in far
-    fewer rounds than peeling.  Neighbour values are capped at the vertex's own
-    value and counted per (vertex, value) before any window sees them.
+    fewer rounds than peeling.  Neighbour values are counted per (vertex, value) on
+    the map side first, so that a hub receives one row per value and not one per
+    neighbour; the values of the first round are degrees, of which there are at most
+    the square root of 2E different ones.
     """
     cutter = Cutter(edges.sparkSession, "cores")
     table = EdgeTable(edges, cutter)
@@ -77,8 +79,8 @@ def core_numbers_of(edges: DataFrame, start: DataFrame | None = None, max_rounds
     state, path = cutter.cut(first)
     w = Window.partitionBy("id").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for _ in range(max_rounds):
-        seen = table.spread(state).select(F.col("dst").alias("id"), F.col("core").alias("x"))
-        counts = seen.join(state, "id").groupBy("id", "core", F.least("x", "core").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        seen = table.spread(state).groupBy(F.col("dst").alias("id"), F.col("core").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        counts = seen.join(state, "id").select("id", "core", F.least("x", "core").alias("x"), "n")
         best = counts.withColumn("n", F.sum("n").over(w)).groupBy("id", F.col("core").alias("was")).agg(F.max(F.least("x", "n")).alias("core"))
         before = path
         state, path, m = cutter.cut_counting(best.select("id", "core", (F.col("core") < F.col("was")).alias("c")), n=F.count_if(F.col("c")))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators.ordering import least_by
+from ..operators.skew import HEAVY_ROWS
 from ..operators.traverse import EdgeTable
 from ..plans.loops import Cutter
 
@@ -74,7 +76,7 @@ def katz(g: Graph, rounds: int = 50, top_k: int | None = None, max_degree: int |
         state, path = cutter.cut(new)
         cutter.drop(before)
         if top_k is not None:
-            ranked = state.filter("active").orderBy(F.desc("lower"), "id").limit(top_k).agg(F.min("lower"), F.count(F.lit(1))).first()
+            ranked = least_by(state.filter("active").select("id", "lower"), [-F.col("lower"), F.col("id")], top_k).agg(F.min("lower"), F.count(F.lit(1))).first()
             if ranked[1] < top_k:
                 break
             bound = F.col("active") & ((F.col("upper") > F.lit(ranked[0])) | (F.col("lower") >= F.lit(ranked[0])))
@@ -134,40 +136,61 @@ def katz_scores(levels: list[DataFrame], max_degree: int) -> DataFrame:
 
 def random_roots(g: Graph, k: int, seed: int = 0) -> DataFrame:
     """``k`` distinct vertices, chosen by a seeded hash."""
-    return g.vertices.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
+    return least_by(g.vertices.select("id"), [F.xxhash64("id", F.lit(seed)), F.col("id")], k)
 
 
-def betweenness(g: Graph, roots: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def betweenness(g: Graph, roots: DataFrame | None = None, max_rounds: int = 10_000, batch: int = 256, symmetric: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(id, bc): Brandes' dependencies summed over all roots, or over ``roots.id``.
 
-    All roots run together: the state is one row per (root, reached vertex).  Not
-    halved for undirected graphs, not normalised.  Parallel edges count as one and
-    self-loops not at all.  Vertices on no path have 0.
+    ``batch`` roots run together: the state is one row per (root, reached vertex),
+    so a batch needs at most batch x vertices rows, and the levels of a batch are
+    removed after it.  symmetric: every edge is there in both directions, so that a
+    vertex can only be met again from the last two levels.  Not halved for
+    undirected graphs, not normalised.  Parallel edges count as one and self-loops
+    not at all.  Vertices on no path have 0.
     """
     cutter = Cutter(g.vertices.sparkSession, "betweenness")
-    table = EdgeTable(g.edges.select("src", "dst").filter("src <> dst").distinct(), cutter)
-    start = (roots if roots is not None else g.vertices).select("id").distinct()
-    level, _, seen = cutter.cut_counting(start.select(F.col("id").alias("root"), "id", F.lit(1.0).alias("sigma")), n=F.count(F.lit(1)))
-    levels, visited = [level], level.select("root", "id")
+    table = EdgeTable(g.edges.select("src", "dst").filter("src <> dst").distinct(), cutter, heavy_rows)
+    start, _, seen = cutter.cut_counting((roots if roots is not None else g.vertices).select("id").distinct(), n=F.count(F.lit(1)))
+    batches = -(-seen["n"] // batch)
+    sums = None
+    for i in range(batches):
+        mine = start.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)
+        part = _dependencies(table, mine, cutter, max_rounds, symmetric)
+        if part is not None:
+            sums = part if sums is None else sums.unionByName(part)
+    table.close()
+    if sums is None:
+        return g.vertices.select("id", F.lit(0.0).alias("bc"))
+    total = sums.groupBy("id").agg(F.sum("delta").alias("bc"))
+    return g.vertices.select("id").join(total, "id", "left").fillna(0.0, ["bc"])
+
+
+def _dependencies(table: EdgeTable, roots: DataFrame, cutter: Cutter, max_rounds: int, symmetric: bool) -> DataFrame | None:
+    """(id, delta) summed over the roots of a batch; None if they reach nothing."""
+    level, path, seen = cutter.cut_counting(roots.select(F.col("id").alias("root"), "id", F.lit(1.0).alias("sigma")), n=F.count(F.lit(1)))
+    levels, paths = [level], [path]
     while seen["n"]:
-        sent = table.spread(level).groupBy("root", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        level, _, seen = cutter.cut_counting(sent.join(visited, ["root", "id"], "left_anti"), n=F.count(F.lit(1)))
+        sent = table.spread(levels[-1], many=True).groupBy("root", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
+        for old in levels[-2:] if symmetric else levels:
+            sent = sent.join(old.select("root", "id"), ["root", "id"], "left_anti")
+        level, path, seen = cutter.cut_counting(sent, n=F.count(F.lit(1)))
+        paths.append(path)
         if seen["n"]:
             levels.append(level)
-            visited, _ = cutter.cut(visited.unionByName(level.select("root", "id")))
         if len(levels) > max_rounds:
             raise RuntimeError("too many levels")
-    total = None
     delta = levels[-1].select("root", "id", "sigma", F.lit(0.0).alias("delta"))
+    total = None
     for above in reversed(levels[:-1]):
         deeper = delta.select("root", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        got = table.spread(above).join(deeper, ["root", "dst"]).groupBy("root", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
-        here, _ = cutter.cut(above.join(got, ["root", "id"], "left").select("root", "id", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")))
+        got = table.spread(above, many=True).join(deeper, ["root", "dst"]).groupBy("root", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
+        here, path = cutter.cut(above.join(got, ["root", "id"], "left").select("root", "id", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")))
+        paths.append(path)
         part = here.filter("root <> id").select("id", "delta")
         total = part if total is None else total.unionByName(part)
         delta = here
-    table.close()
-    if total is None:
-        return g.vertices.select("id", F.lit(0.0).alias("bc"))
-    sums = total.groupBy("id").agg(F.sum("delta").alias("bc"))
-    return g.vertices.select("id").join(sums, "id", "left").fillna(0.0, ["bc"])
+    if total is not None:
+        total, _ = cutter.cut(total.groupBy("id").agg(F.sum("delta").alias("delta")))
+    cutter.drop(*paths)
+    return total

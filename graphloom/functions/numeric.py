@@ -6,24 +6,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _whole(a: Column, b: Column) -> Column:
+    """The integer part of a / b, exact for bigints; null for b = 0 and for the one quotient that a bigint cannot hold."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    return F.when((b != 0) & ~((b == -1) & (a == F.lit(-(2**63)))), F.call_function("div", a, F.nullif(b, F.lit(0))))
+
+
+def _rest(a: Column, b: Column) -> Column:
+    return F.call_function("try_mod", a.cast("bigint"), b.cast("bigint"))
+
+
 def ceil_div(a: Column, b: Column) -> Column:
-    """a / b rounded up, for integers of any sign; null for b = 0."""
-    return F.ceil(a / F.nullif(b, F.lit(0)))
+    """a / b rounded up, for integers of any sign, exact; null for b = 0."""
+    q, r = _whole(a, b), _rest(a, b)
+    return q + ((r != 0) & ((r > 0) == (b > 0))).cast("bigint")
+
+
+def floor_div(a: Column, b: Column) -> Column:
+    """a / b rounded down, exact; null for b = 0."""
+    q, r = _whole(a, b), _rest(a, b)
+    return q - ((r != 0) & ((r > 0) != (b > 0))).cast("bigint")
 
 
 def round_div(a: Column, b: Column) -> Column:
-    """a / b rounded half up."""
-    return F.floor(a / F.nullif(b, F.lit(0)) + F.lit(0.5))
+    """a / b rounded half up, exact; null for b = 0."""
+    down = floor_div(a, b)
+    # The rest towards b's sign, compared with what is left of b: no product can overflow.
+    r = a.cast("bigint") - down * b.cast("bigint")
+    return down + F.when(b > 0, (r >= b - r).cast("bigint")).otherwise((r <= b - r).cast("bigint"))
 
 
 def upper_multiple(a: Column, m: int) -> Column:
     """The smallest multiple of m that is at least a."""
-    return F.ceil(a / F.lit(m)) * m
+    return ceil_div(a, F.lit(m)) * m
 
 
 def lower_multiple(a: Column, m: int) -> Column:
     """The largest multiple of m that is at most a."""
-    return F.floor(a / F.lit(m)) * m
+    return floor_div(a, F.lit(m)) * m
+
+
+def multiplies(a: Column, b: Column) -> Column:
+    """Whether a * b fits a bigint."""
+    return F.call_function("try_multiply", a.cast("bigint"), b.cast("bigint")).isNotNull()
+
+
+def factorial(a: Column) -> Column:
+    """a! for 0 <= a <= 20, null beyond what a bigint holds."""
+    return F.factorial(a.cast("int"))
 
 
 def is_power2(a: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from .numeric import floor_log2
 from ..operators.ordering import with_index
 from ..plans.loops import Cutter
 
@@ -38,7 +39,7 @@ def degree_distribution(g: Graph) -> DataFrame:
     Vertices of degree 0 are in bucket -1.
     """
     d = g.out_degrees()
-    b = F.when(F.col("degree") == 0, F.lit(-1)).otherwise(F.floor(F.log2("degree"))).cast("int")
+    b = F.when(F.col("degree") == 0, F.lit(-1)).otherwise(floor_log2(F.col("degree"))).cast("int")
     t = d.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n_vertices"), F.sum("degree").alias("n_edges"))
     all_v, all_e = t.agg(F.sum("n_vertices")).scalar(), t.agg(F.sum("n_edges")).scalar()
     return t.select("bucket", "n_vertices", "n_edges", (100.0 * F.col("n_vertices") / all_v).alias("vertex_percent"), (100.0 * F.col("n_edges") / F.nullif(all_e, F.lit(0))).alias("edge_percent"))

@@ -47,10 +47,19 @@ class Graph:
         """A graph from compressed rows: vertex i has targets[offsets[i]:offsets[i+1]]."""
         if not offsets or offsets[0] != 0 or offsets[-1] != len(targets) or any(a > b for a, b in zip(offsets, offsets[1:], strict=False)):
             raise ValueError("offsets must rise from 0 to the number of targets")
-        rows = [(i, targets[j], *(v[j] for v in attributes.values())) for i in range(len(offsets) - 1) for j in range(offsets[i], offsets[i + 1])]
-        if not rows:
-            return Graph(spark.range(len(offsets) - 1), spark.createDataFrame([], "src bigint, dst bigint"))
-        return Graph.dense(spark.createDataFrame(rows, ["src", "dst", *attributes]), len(offsets) - 1)
+        n = len(offsets) - 1
+        starts = spark.createDataFrame([(i, offsets[i], offsets[i + 1] - offsets[i]) for i in range(n)], "id bigint, offset bigint, degree bigint")
+        if not targets:
+            return Graph(spark.range(n), spark.createDataFrame([], "src bigint, dst bigint"))
+        entries = spark.createDataFrame(list(zip(range(len(targets)), targets, *attributes.values(), strict=True)), ["position", "dst", *attributes])
+        return Graph.from_csr_tables(starts, entries)
+
+    @staticmethod
+    def from_csr_tables(offsets: DataFrame, entries: DataFrame) -> Graph:
+        """A graph from the two tables of :meth:`csr`: (id, offset, degree) and (position, dst, attributes)."""
+        rest = [c for c in entries.columns if c not in ("position", "dst")]
+        at = offsets.filter("degree > 0").select(F.col("id").alias("src"), F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("degree") - 1)).alias("position"))
+        return Graph(offsets.select("id"), at.join(entries, "position").select("src", F.col("dst").cast("bigint").alias("dst"), *rest))
 
     # size and degrees
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..plans.loops import Cutter
 
+#: Rows that one task may gather for an ordered limit.
+ONE_TASK = 100_000
 _POS, _PART, _VALUE = "__pos", "__part", "__value"
 
 
@@ -56,3 +58,13 @@ def running_max(df: DataFrame, order: list[Column], value: Column, name: str, cu
     w = Window.partitionBy(_PART).orderBy(_POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = table.join(F.broadcast(small), _PART).withColumn(name, F.greatest(F.max(_VALUE).over(w), F.col("__offset")))
     return out.drop(_POS, _PART, _VALUE, "__offset")
+
+
+def least_by(df: DataFrame, order: list[Column], n: int, cutter: Cutter | None = None, one_task: int = ONE_TASK) -> DataFrame:
+    """The first ``n`` rows in ``order``, which should be total.
+
+    Up to ``one_task`` rows they come through one task; more are cut off a range sort.
+    """
+    if n <= one_task:
+        return df.orderBy(*order).limit(n)
+    return with_index(df, order, "__at", cutter).filter(F.col("__at") < n).drop("__at")

@@ -54,8 +54,9 @@ class EdgeTable:
 
     The edges are stored once.  Sources with ``threshold`` edges or more (few, see
     :func:`heavy_threshold`) keep their edges wherever they lie; what a hub sends
-    reaches them by broadcast.  The edges of all other sources are partitioned by
-    ``src`` and kept on disk, so that a round shuffles only the vertex state.
+    reaches them by broadcast, if it is one row a vertex, else by salts.  The edges
+    of all other sources are partitioned by ``src`` and kept on disk, so that a round
+    shuffles only the vertex state.
     """
 
     def __init__(self, edges: DataFrame, cutter: Cutter, heavy_rows: int = HEAVY_ROWS):
@@ -64,21 +65,32 @@ class EdgeTable:
         self.n = seen["n"]
         threshold = heavy_threshold(self.n, heavy_rows)
         degrees = self.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= threshold)
-        self.hubs, _, seen = cutter.cut_counting(degrees.select("src"), n=F.count(F.lit(1)))
+        # a hub has one salt per ``heavy_rows`` edges
+        self.hubs, _, seen = cutter.cut_counting(degrees.select("src", F.ceil(F.col("n") / heavy_rows).cast("int").alias("salts")), n=F.count(F.lit(1)))
         self.any_hub = bool(seen["n"])
-        light = self.edges.join(F.broadcast(self.hubs), "src", "left_anti") if self.any_hub else self.edges
+        light = self.edges.join(F.broadcast(self.hubs.select("src")), "src", "left_anti") if self.any_hub else self.edges
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.light = light.repartition(parts, "src").persist()
 
-    def spread(self, state: DataFrame) -> DataFrame:
-        """Each edge with the columns of the vertex ``state.id`` at its source."""
+    def spread(self, state: DataFrame, many: bool = False) -> DataFrame:
+        """Each edge with the columns of the vertex ``state.id`` at its source.
+
+        many: a vertex may have any number of rows.  Nothing is broadcast then but the
+        hubs' names; the edges of a hub are salted and its rows copied to each salt.
+        """
         s = state.withColumnRenamed("id", "src")
         out = self.light.join(s, "src")
-        if self.any_hub:
-            hub_state = F.broadcast(s.join(F.broadcast(self.hubs), "src", "left_semi"))
-            heavy = self.edges.join(F.broadcast(self.hubs), "src", "left_semi").join(hub_state, "src")
-            out = out.unionByName(heavy)
-        return out
+        if not self.any_hub:
+            return out
+        names = F.broadcast(self.hubs)
+        if many:
+            edges = self.edges.join(names, "src").withColumn("__salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int")).drop("salts")
+            rows = s.join(names, "src").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+            return out.unionByName(edges.join(rows.hint("shuffle_hash"), ["src", "__salt"]).drop("__salt"))
+        only = names.select("src")
+        hub_state = F.broadcast(s.join(F.broadcast(only), "src", "left_semi"))
+        heavy = self.edges.join(F.broadcast(only), "src", "left_semi").join(hub_state, "src")
+        return out.unionByName(heavy)
 
     def close(self) -> None:
         self.light.unpersist()

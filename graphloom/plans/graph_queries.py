@@ -494,19 +494,19 @@ def g_katz_dynamic_default(spark: SparkSession, d: str) -> DataFrame:
 def g_betweenness(spark: SparkSession, d: str) -> DataFrame:
     """One root: the vertex of the largest degree."""
     g = coo_graph(spark, d).simple()
-    return ranking.betweenness(g, g.max_degree().select("id")).withColumn("bc", F.round("bc", 6))
+    return ranking.betweenness(g, g.max_degree().select("id"), symmetric=True).withColumn("bc", F.round("bc", 6))
 
 
 @register()
 def g_betweenness_sampled(spark: SparkSession, d: str) -> DataFrame:
     g = coo_graph(spark, d).simple()
-    return ranking.betweenness(g, ranking.random_roots(g, 8, 1)).withColumn("bc", F.round("bc", 6))
+    return ranking.betweenness(g, ranking.random_roots(g, 8, 1), symmetric=True).withColumn("bc", F.round("bc", 6))
 
 
 @register()
 def g_betweenness_exact(spark: SparkSession, d: str) -> DataFrame:
     """All roots, on the whole graph (the effort is vertices times edges)."""
-    return ranking.betweenness(coo_graph(spark, d).simple()).withColumn("bc", F.round("bc", 6))
+    return ranking.betweenness(coo_graph(spark, d).simple(), symmetric=True).withColumn("bc", F.round("bc", 6))
 
 
 # triangles, cores, trusses

@@ -1,22 +1,18 @@
 """Readers of graph file formats, as plans over lines of text.
 
 A reader takes lines (value, at), where ``at`` orders them; :func:`read_lines` makes
-them of a file.  Only the header of a file (comment and size lines, a few rows) is
-looked at by the driver; all edges stay in the plan.
+them of a file.  Only the header of a file (its first lines, found by one aggregate
+without a sort) is looked at by the driver; all edges stay in the plan.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators.ordering import with_index
 
-#: Lines of the file that are looked at to find its header.
-HEADER_LINES = 1000
 _BLANKS = r"[\s,]+"
 
 
@@ -27,22 +23,39 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select("value", at.alias("at"))
 
 
-@dataclass
-class Header:
-    directed: bool = True
-    n_vertices: int | None = None
-    n_edges: int | None = None
-    data_from: object = None
+class Head:
+    """What a driver needs of a file before its edges: found by one aggregate over all lines.
 
+    first: the first line that is not empty; comments: the first two comment lines;
+    data: the first line that is none, and ``at`` where it stands.
+    """
 
-def _head(lines: DataFrame, prefix: str) -> list[str]:
-    rows = lines.filter(F.trim("value") != "").orderBy("at").limit(HEADER_LINES).collect()
-    out = []
-    for r in rows:
-        out.append(r.value.strip())
-        if not r.value.lstrip().startswith(prefix):
-            break
-    return out
+    def __init__(self, lines: DataFrame, prefix: str):
+        v = F.trim("value")
+        full, comment = v != "", v.startswith(prefix)
+        texts = lines.select(v.alias("v"), "at", full.alias("full"), (full & comment).alias("c"))
+        row = texts.agg(
+            F.min(F.when(F.col("full"), F.struct("at", "v"))).alias("first"), F.min(F.when(F.col("c"), F.struct("at", "v"))).alias("comment"),
+            F.min(F.when(F.col("full") & ~F.col("c"), F.struct("at", "v"))).alias("data"), F.max(F.when(F.col("c") & F.lower("v").contains("undirected"), 1)).alias("undirected"),
+        ).first()
+        self.first = row.first.v if row.first else None
+        self.comment = row.comment.v if row.comment else None
+        self.data = row.data.v if row.data else None
+        self.data_at = row.data.at if row.data else None
+        self.undirected = bool(row.undirected)
+        self._comment_at = row.comment.at if row.comment else None
+        self._lines, self._prefix = lines, prefix
+
+    def second_comment(self) -> str | None:
+        """The comment line after the first one."""
+        v = F.trim("value")
+        row = self._lines.filter(v.startswith(self._prefix) & (F.col("at") > _place(self._comment_at))).agg(F.min(F.struct("at", v.alias("v"))).alias("x")).first() if self._comment_at is not None else None
+        return row.x.v if row and row.x else None
+
+
+def _place(at) -> Column:
+    """A position of :func:`read_lines`, or a plain one, as a literal."""
+    return F.struct(*(F.lit(x).alias(k) for k, x in at.asDict().items())) if hasattr(at, "asDict") else F.lit(at)
 
 
 def _numbers(lines: DataFrame, comment: str, columns: list[str], offset: int, kinds: dict[str, str] | None = None) -> DataFrame:
@@ -78,16 +91,17 @@ def _by_appearance(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_mtx(lines: DataFrame, weight: str | None = None, directed: bool | None = None) -> Graph:
     """MatrixMarket coordinate file: 1-based; ``symmetric`` means undirected.  weight: type of a third column."""
-    head = _head(lines, "%")
-    if not head or not head[0].lower().startswith("%%matrixmarket"):
+    head = Head(lines, "%")
+    if not head.first or not head.first.lower().startswith("%%matrixmarket"):
         raise ValueError("no MatrixMarket header")
-    words = head[0].lower().split()
+    words = head.first.lower().split()
     if "array" in words:
         raise ValueError("dense matrices are not supported")
-    rows, cols = (int(x) for x in head[-1].split()[:2])
+    if head.data is None:
+        raise ValueError("no size line")
+    rows, cols = (int(x) for x in head.data.split()[:2])
     body = _numbers(lines, "%", ["src", "dst", *(["weight"] if weight else [])], -1, {"weight": weight} if weight else None)
-    size_at = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("%")).agg(F.min("at")).scalar()
-    body = body.filter(F.col("at") > size_at)
+    body = body.filter(F.col("at") > _place(head.data_at))
     return _graph(body, max(rows, cols), directed if directed is not None else "symmetric" not in words)
 
 
@@ -111,10 +125,10 @@ def parse_metis(lines: DataFrame) -> Graph:
     comments.
     """
     rows = lines.filter(~F.trim("value").startswith("%"))
-    head = rows.orderBy("at").limit(1).collect()
-    if not head:
+    head = rows.agg(F.min(F.struct("at", "value")).alias("x")).first().x
+    if head is None:
         raise ValueError("no size line")
-    size = head[0].value.split()
+    size = head.value.split()
     if len(size) > 2 and size[2] not in ("0", "100"):
         raise ValueError("weighted adjacency files are not supported")
     n = int(size[0])
@@ -135,9 +149,8 @@ def parse_gr(lines: DataFrame, directed: bool = True) -> Graph:
 
 def parse_snap(lines: DataFrame, weight: str | None = None, directed: bool | None = None) -> Graph:
     """``#`` comments, then raw ids that become dense by first appearance; vertices(id, label)."""
-    head = _head(lines, "#")
     if directed is None:
-        directed = not any("undirected" in h.lower() for h in head)
+        directed = not Head(lines, "#").undirected
     e = _numbers(lines, "#", ["a", "b", *(["weight"] if weight else [])], 0, {"weight": weight} if weight else None)
     e, ids = _by_appearance(e)
     return _graph(e, None, directed, ids)
@@ -145,20 +158,18 @@ def parse_snap(lines: DataFrame, weight: str | None = None, directed: bool | Non
 
 def parse_konect(lines: DataFrame, directed: bool | None = None) -> Graph:
     """``%`` comments: ``asym`` or ``bip`` means directed; a second line has E, n1, n2; 1-based edges."""
-    head = [h for h in _head(lines, "%") if h.startswith("%")]
-    words = head[0].lstrip("% ").lower().split() if head else []
+    head = Head(lines, "%")
+    words = head.comment.lstrip("% ").lower().split() if head.comment else []
     if directed is None:
         directed = bool({"asym", "bip"} & set(words))
-    size = [int(x) for x in head[1].lstrip("% ").split() if x.isdigit()] if len(head) > 1 else []
+    size = [int(x) for x in (head.second_comment() or "").lstrip("% ").split() if x.isdigit()]
     return _graph(_numbers(lines, "%", ["src", "dst"], -1), max(size[1:3], default=None) if size else None, directed)
 
 
 def parse_edges(lines: DataFrame, directed: bool | None = None) -> Graph:
     """``u,v`` or ``u v`` per line, 1-based; the first comment says whether it is directed."""
-    head = [h for h in _head(lines, "%") if h.startswith("%")]
     if directed is None:
-        words = head[0].lower().split() if head else []
-        directed = "directed" in words
+        directed = "directed" in (Head(lines, "%").comment or "").lower().split()
     return _graph(_numbers(lines, "%", ["src", "dst"], -1), None, directed)
 
 
@@ -190,8 +201,8 @@ def read_graph(spark: SparkSession, path: str, fmt: str | None = None, directed:
         return read_parquet(spark, path)
     lines = read_lines(spark, path)
     if fmt is None:
-        first = lines.orderBy("at").limit(1).collect()
-        fmt = format_of(path, first[0].value if first else "")
+        first = lines.agg(F.min(F.struct("at", "value")).alias("x")).first().x
+        fmt = format_of(path, first.value if first else "")
     if directed is not None:
         options["directed"] = directed
     g = READERS[fmt](lines, **options)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators.ordering import running_sum, with_index
+from ..operators.ordering import least_by, running_sum, with_index
 
 
 def _uniform(key, seed: int, n: int):
@@ -27,7 +27,7 @@ def random_edges(spark: SparkSession, n_vertices: int, size: int, seed: int = 0,
 def sample_edges(edges: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """``size`` rows of an edge table, chosen by a seeded hash; parallel edges may be chosen each."""
     rows = edges.withColumn("__h", F.xxhash64(*edges.columns, F.lit(seed)))
-    return rows.orderBy("__h", *edges.columns).limit(size).drop("__h")
+    return least_by(rows, [F.col("__h"), *(F.col(c) for c in edges.columns)], size).drop("__h")
 
 
 def weighted_vertices(g: Graph, size: int, seed: int = 0) -> DataFrame:

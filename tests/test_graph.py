@@ -196,6 +196,8 @@ def test_transforms(g, spark, rows):
     assert c[0] == (0, 3) and c[1] == (3, 0) and c[7] == (11, 1)
     back = Graph.from_csr(spark, [0, 2, 2, 3], [1, 2, 0])
     assert rows(back.edges) == [(0, 1), (0, 2), (2, 0)]
+    assert rows(Graph.from_csr_tables(offsets, entries).edges, "src", "dst", "weight") == rows(g.edges, "src", "dst", "weight")
+    assert rows(Graph.from_csr(spark, [0, 0], []).edges) == []
 
 
 def test_running_sum_and_max(spark):
@@ -288,3 +290,33 @@ def test_structured_stream(spark, tmp_path):
     seen = []
     s.run(stream, f"file://{tmp_path}/c", lambda g, n: seen.append(g.edges().count()))
     assert s.edges().count() == 12 and seen == sorted(seen) and len(seen) >= 3
+
+
+def test_many_rows_of_a_hub_are_salted_and_not_broadcast(g, spark):
+    from graphloom.plans.loops import Cutter
+
+    t = traverse.EdgeTable(g.edges.select("src", "dst"), Cutter(spark, "t"), heavy_rows=2)
+    assert t.any_hub
+    state = spark.range(50).select((F.col("id") % 10).alias("id"), F.col("id").alias("root"))
+    out = t.spread(state, many=True)
+    assert sorted((r.src, r.dst, r.root) for r in out.collect()) == sorted((a, b, k) for a, b in ARCS for k in range(50) if k % 10 == a)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ResolvedHint" not in plan or "root" not in plan.split("strategy=broadcast")[1].split("\n")[1]
+
+
+@pytest.mark.parametrize("kw", [{"batch": 2}, {"batch": 4, "symmetric": True}, {"heavy_rows": 2}])
+def test_betweenness_in_batches_and_with_hubs(u, kw):
+    d = as_dict(ranking.betweenness(u, **kw), "id", "bc")
+    assert [d[i] for i in range(9)] == pytest.approx([18, 0, 17, 15, 18, 0, 4, 6, 0])
+
+
+@pytest.mark.parametrize("fmt", ["mtx", "konect", "snap", "edges"])
+def test_long_headers(spark, tmp_path, rows, fmt):
+    text, want = FILES[fmt]
+    first, rest = text.split("\n", 1)
+    sign = "#" if fmt == "snap" else "%"
+    at = rest.index("\n") + 1 if fmt in ("konect", "snap") else 0
+    p = tmp_path / ("out.x" if fmt == "konect" else f"x.{fmt}")
+    p.write_text(first + "\n" + rest[:at] + f"{sign} more\n" * 1100 + rest[at:])
+    g = files.read_graph(spark, f"file://{p}")
+    assert rows(g.edges, "src", "dst") == want and g.n_vertices() == 3
