@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators.traverse import EdgeTable
+from ..operators.skew import join_any
 from ..plans.loops import Cutter
 
 
@@ -16,7 +17,7 @@ def spmv(g: Graph, x: DataFrame, value: str | Column = "weight") -> DataFrame:
     x holds (id, x); entries it lacks are 0, as are null values.  Parallel edges add.
     """
     v = F.col(value) if isinstance(value, str) else value
-    products = g.edges.select("src", "dst", v.alias("v")).join(x.select(F.col("id").alias("dst"), "x"), "dst")
+    products = join_any(g.edges.select("src", "dst", v.alias("v")), x.select(F.col("id").alias("dst"), "x"), "dst")
     y = products.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("v") * F.col("x")).alias("y"))
     return g.vertices.select("id").join(y, "id", "left").withColumn("y", F.coalesce("y", F.lit(0)))
 

@@ -139,12 +139,12 @@ def random_roots(g: Graph, k: int, seed: int = 0) -> DataFrame:
     return least_by(g.vertices.select("id"), [F.xxhash64("id", F.lit(seed)), F.col("id")], k)
 
 
-def betweenness(g: Graph, roots: DataFrame | None = None, max_rounds: int = 10_000, batch: int = 256, symmetric: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def betweenness(g: Graph, roots: DataFrame | None = None, max_rounds: int = 10_000, state_rows: int = 50_000_000, symmetric: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(id, bc): Brandes' dependencies summed over all roots, or over ``roots.id``.
 
-    ``batch`` roots run together: the state is one row per (root, reached vertex),
-    so a batch needs at most batch x vertices rows, and the levels of a batch are
-    removed after it.  symmetric: every edge is there in both directions, so that a
+    The state is one row per (root, reached vertex).  As many roots run together as
+    fit ``state_rows`` if each reaches everything (at least one), and the levels of
+    such a batch are removed after it.  symmetric: every edge is there in both directions, so that a
     vertex can only be met again from the last two levels.  Not halved for
     undirected graphs, not normalised.  Parallel edges count as one and self-loops
     not at all.  Vertices on no path have 0.
@@ -152,7 +152,7 @@ def betweenness(g: Graph, roots: DataFrame | None = None, max_rounds: int = 10_0
     cutter = Cutter(g.vertices.sparkSession, "betweenness")
     table = EdgeTable(g.edges.select("src", "dst").filter("src <> dst").distinct(), cutter, heavy_rows)
     start, _, seen = cutter.cut_counting((roots if roots is not None else g.vertices).select("id").distinct(), n=F.count(F.lit(1)))
-    batches = -(-seen["n"] // batch)
+    batches = -(-seen["n"] // max(1, state_rows // max(1, g.vertices.count())))
     sums = None
     for i in range(batches):
         mine = start.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)

@@ -33,3 +33,31 @@ def join_counted(rows: DataFrame, per_key: DataFrame, key: str, count: str, thre
     hot = rows.join(heavy, key)
     cold = rows.join(heavy.select(key), key, "left_anti").join(light, key)
     return hot.unionByName(cold)
+
+
+def join_salted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, threshold: int, any_heavy: bool = True) -> DataFrame:
+    """As :func:`join_counted`, for values too large to broadcast: a heavy key is split by salts instead.
+
+    The rows of a heavy key go to one salt per ``threshold`` rows, and its row of
+    ``per_key`` is copied to each; only the names of heavy keys are broadcast.
+    """
+    if not any_heavy:
+        return rows.join(per_key.drop(count), keys)
+    salts = F.ceil(F.col(count) / threshold).cast("int")
+    names = F.broadcast(per_key.filter(F.col(count) >= threshold).select(*keys, salts.alias("__salts")))
+    salted = rows.join(names, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) >= threshold, salts - 1).otherwise(0)))).drop(count)
+    return salted.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
+def join_any(rows: DataFrame, per_key: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Inner join with one row per ``key``, safe for hot keys of unknown counts; lazy, without a job of its own.
+
+    Keys are counted with map-side combining; those that :func:`heavy_threshold`
+    would call heavy (at most MAX_HEAVY) are joined by broadcast.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    least = F.greatest(F.lit(heavy_rows), F.ceil(counts.agg(F.sum("__n")).scalar() / MAX_HEAVY))
+    hot = F.broadcast(counts.filter(F.col("__n") >= least).select(key))
+    hot_rows = rows.join(hot, key, "left_semi").join(F.broadcast(per_key.join(hot, key, "left_semi")), key)
+    return hot_rows.unionByName(rows.join(hot, key, "left_anti").join(per_key, key))

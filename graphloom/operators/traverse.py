@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.loops import Cutter
-from .skew import HEAVY_ROWS, heavy_threshold
+from .skew import HEAVY_ROWS, heavy_threshold, join_any
 
 
 def for_all(spark: SparkSession, n: int, **columns: Column) -> DataFrame:
@@ -46,7 +46,7 @@ def for_all_pairs(pairs: DataFrame, state: DataFrame, **columns: Column) -> Data
     rest = F.struct(*(c for c in state.columns if c != "id"))
     s = state.select(F.col("id").alias("src"), rest.alias("s"))
     d = state.select(F.col("id").alias("dst"), rest.alias("d"))
-    return pairs.join(s, "src").join(d, "dst").withColumns(columns)
+    return join_any(join_any(pairs, s, "src"), d, "dst").withColumns(columns)
 
 
 class EdgeTable:

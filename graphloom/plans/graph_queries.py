@@ -574,6 +574,16 @@ def g_truss_numbers(spark: SparkSession, d: str) -> DataFrame:
     return dense.truss_numbers(coo_graph(spark, d))
 
 
+@register()
+def g_truss_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    """Truss numbers of the whole edge table, reached from those of the base files by the batch of the others."""
+    g, batch = split_graph(spark, d)
+    c = Cutter(spark, "truss-dynamic")
+    edges, _ = c.cut(g.simple().edges)
+    before, _ = c.cut(dense.truss_numbers_of(edges))
+    return dense.truss_numbers_after(edges, before, batch, batch.limit(0))
+
+
 @register()
 def g_max_truss(spark: SparkSession, d: str) -> DataFrame:
     return dense.max_truss(coo_graph(spark, d))

@@ -304,7 +304,7 @@ def test_many_rows_of_a_hub_are_salted_and_not_broadcast(g, spark):
     assert "ResolvedHint" not in plan or "root" not in plan.split("strategy=broadcast")[1].split("\n")[1]
 
 
-@pytest.mark.parametrize("kw", [{"batch": 2}, {"batch": 4, "symmetric": True}, {"heavy_rows": 2}])
+@pytest.mark.parametrize("kw", [{"state_rows": 18}, {"state_rows": 40, "symmetric": True}, {"heavy_rows": 2}])
 def test_betweenness_in_batches_and_with_hubs(u, kw):
     d = as_dict(ranking.betweenness(u, **kw), "id", "bc")
     assert [d[i] for i in range(9)] == pytest.approx([18, 0, 17, 15, 18, 0, 4, 6, 0])

@@ -136,3 +136,16 @@ def test_quoting_agrees_with_a_csv_writer(spark):
         data.append((i, "edge", out.getvalue()))
     got = {r.line_id: r.graph_name for r in dl.load_lines(spark.createDataFrame(data, "line_id bigint, line_kind string, line_text string"), dl.EDGE).collect()}
     assert got == dict(enumerate(texts))
+
+
+def test_joins_of_hot_keys_equal_a_plain_join(spark, rows):
+    from graphloom.operators import skew
+
+    data = [(i % 3 if i % 2 else 7, i) for i in range(200)] + [(None, 1)]
+    df = spark.createDataFrame(data, "k bigint, i int")
+    per = spark.createDataFrame([(k, k * 10) for k in (0, 1, 2, 5, 7)], "k bigint, x bigint")
+    want = rows(df.join(per, "k"), "k", "i", "x")
+    assert rows(skew.join_any(df, per, "k", heavy_rows=20), "k", "i", "x") == want
+    assert rows(skew.join_any(df, per, "k"), "k", "i", "x") == want
+    counted = per.join(df.groupBy("k").count(), "k")
+    assert rows(skew.join_salted(df, counted, ["k"], "count", 20), "k", "i", "x") == want

@@ -112,6 +112,42 @@ def test_trusses_of_the_whole_table(run, k):
     assert {tuple(r) for r in run(f"g_truss_{k}_whole").collect()} == truss(k)
 
 
+@pytest.mark.parametrize("name", ["g_truss_numbers", "g_truss_dynamic"])
+def test_truss_numbers_of_the_whole_table(run, name):
+    want = {e: max(k for k in range(2, 8) if e in truss(k)) for e in pairs()}
+    assert {(r.src, r.dst): r.truss for r in run(name).collect()} == want
+
+
+def test_truss_numbers_after_batches(spark):
+    import random
+
+    from graphloom.algorithms import dense
+
+    rng = random.Random(3)
+    every = list(combinations(range(14), 2))
+    old = set(rng.sample(every, 50))
+    gone, new = set(rng.sample(sorted(old), 9)), set(rng.sample(sorted(set(every) - old), 6))
+
+    def numbers(edges):
+        out, k, left = dict.fromkeys(edges, 2), 3, set(edges)
+        while left:
+            near = {v: {b for a, b in left if a == v} | {a for a, b in left if b == v} for v in range(14)}
+            low = {(a, b) for a, b in left if len(near[a] & near[b]) < k - 2}
+            left -= low
+            if not low:
+                out |= dict.fromkeys(left, k)
+                k += 1
+        return out
+
+    df = lambda e: spark.createDataFrame(sorted(e), "src bigint, dst bigint")
+    both = df(old | {(b, a) for a, b in old})
+    for heavy in (3, 100_000):
+        before = dense.truss_numbers_of(both, heavy_rows=heavy)
+        assert {(r.src, r.dst): r.truss for r in before.collect()} == numbers(old)
+    after = dense.truss_numbers_after(both, before, df({(b, a) for a, b in new}), df(gone))
+    assert {(r.src, r.dst): r.truss for r in after.collect()} == numbers(old - gone | new)
+
+
 def test_peel_of_the_whole_table(run):
     got = {}
     for r in run("g_peel_json").collect():
