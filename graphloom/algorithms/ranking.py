@@ -136,7 +136,7 @@ def katz_scores(levels: list[DataFrame], max_degree: int) -> DataFrame:
 
 def random_roots(g: Graph, k: int, seed: int = 0) -> DataFrame:
     """``k`` distinct vertices, chosen by a seeded hash."""
-    return least_by(g.vertices.select("id"), [F.xxhash64("id", F.lit(seed)), F.col("id")], k)
+    return least_by(g.vertices.select("id"), [F.md5(F.concat_ws("-", "id", F.lit(seed))), F.col("id")], k)
 
 
 def betweenness(g: Graph, roots: DataFrame | None = None, max_rounds: int = 10_000, state_rows: int = 50_000_000, symmetric: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:

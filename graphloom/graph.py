@@ -132,7 +132,7 @@ class Graph:
         """The acyclic orientation: (u, v) stays iff u has the smaller (degree, id)."""
         d = self.out_degrees()
         e = join_any(self.edges, d.select(F.col("id").alias("src"), F.col("degree").alias("__ds")), "src")
-        e = join_any(e, d.select(F.col("id").alias("dst"), F.col("degree").alias("__dd")), "dst")
+        e = join_any(e, d.select(F.col("id").alias("dst"), F.col("degree").alias("__dd")), "dst", source=self.edges)
         kept = e.filter("__ds < __dd or (__ds = __dd and src < dst)")
         return replace(self, edges=kept.select(*self.edges.columns))
 
@@ -140,7 +140,7 @@ class Graph:
         """Edges with ids replaced by ids.new_id; ends without an entry drop the edge."""
         m = ids.select("id", "new_id")
         e = join_any(self.edges, m.select(F.col("id").alias("src"), F.col("new_id").alias("__s")), "src")
-        e = join_any(e, m.select(F.col("id").alias("dst"), F.col("new_id").alias("__d")), "dst")
+        e = join_any(e, m.select(F.col("id").alias("dst"), F.col("new_id").alias("__d")), "dst", source=self.edges)
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
         v = self.vertices.join(m, "id").select(F.col("new_id").alias("id"), *(c for c in self.vertices.columns if c != "id"))
         return Graph(v, e.select(F.col("__s").alias("src"), F.col("__d").alias("dst"), *rest))

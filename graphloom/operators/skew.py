@@ -50,14 +50,17 @@ def join_salted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str
     return salted.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
-def join_any(rows: DataFrame, per_key: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def join_any(rows: DataFrame, per_key: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS, source: DataFrame | None = None) -> DataFrame:
     """Inner join with one row per ``key``, safe for hot keys of unknown counts; lazy, without a job of its own.
 
     Keys are counted with map-side combining; those that :func:`heavy_threshold`
-    would call heavy (at most MAX_HEAVY) are joined by broadcast.
+    would call heavy (at most MAX_HEAVY) are split by salts, as in :func:`join_salted`.
+    source: a plain table with the same keys as ``rows``, to count them there.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    counts = (rows if source is None else source).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     least = F.greatest(F.lit(heavy_rows), F.ceil(counts.agg(F.sum("__n")).scalar() / MAX_HEAVY))
-    hot = F.broadcast(counts.filter(F.col("__n") >= least).select(key))
-    hot_rows = rows.join(hot, key, "left_semi").join(F.broadcast(per_key.join(hot, key, "left_semi")), key)
-    return hot_rows.unionByName(rows.join(hot, key, "left_anti").join(per_key, key))
+    names = F.broadcast(counts.filter(F.col("__n") >= least).select(key, F.ceil(F.col("__n") / heavy_rows).cast("int").alias("__salts")))
+    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "string")]
+    salted = rows.join(names, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*plain), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    copies = per_key.join(names, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return salted.join(copies, [key, "__salt"]).drop("__salt")

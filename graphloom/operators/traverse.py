@@ -46,7 +46,7 @@ def for_all_pairs(pairs: DataFrame, state: DataFrame, **columns: Column) -> Data
     rest = F.struct(*(c for c in state.columns if c != "id"))
     s = state.select(F.col("id").alias("src"), rest.alias("s"))
     d = state.select(F.col("id").alias("dst"), rest.alias("d"))
-    return join_any(join_any(pairs, s, "src"), d, "dst").withColumns(columns)
+    return join_any(join_any(pairs, s, "src"), d, "dst", source=pairs).withColumns(columns)
 
 
 class EdgeTable:

@@ -96,10 +96,12 @@ def g_to_undirected(spark: SparkSession, d: str) -> DataFrame:
     return coo_graph(spark, d, "weight").to_undirected().edges
 
 
-@register("SELECT count(*) AS n_edges, count(DISTINCT (least(src, dst), greatest(src, dst))) AS n_pairs FROM (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM U)")
+@register("SELECT src AS low, dst AS high, 1::BIGINT AS n, true AS both_ways FROM U WHERE src < dst")
 def g_to_directed(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair once, and both directions in use over all pairs."""
     e = coo_graph(spark, d).simple().to_directed(7).edges
-    return e.agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("n_pairs"))
+    ways = e.agg((F.count_if(F.col("src") < F.col("dst")) > 0) & (F.count_if(F.col("src") > F.col("dst")) > 0)).scalar()
+    return e.groupBy(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).agg(F.count(F.lit(1)).alias("n")).withColumn("both_ways", ways)
 
 
 @register("+O AS (SELECT src, count(*) AS degree FROM U GROUP BY src) SELECT U.src, U.dst FROM U JOIN O a ON a.src = U.src JOIN O b ON b.src = U.dst WHERE (a.degree, U.src) < (b.degree, U.dst)")
@@ -107,10 +109,15 @@ def g_by_degree(spark: SparkSession, d: str) -> DataFrame:
     return coo_graph(spark, d).simple().by_degree().edges
 
 
-@register("SELECT degree, count(*) AS n FROM D GROUP BY degree")
+@register("SELECT src, dst, count(*) AS n, true AS moved, true AS dense FROM E GROUP BY src, dst")
 def g_randomize_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Degrees do not change under a permutation of the ids."""
-    return coo_graph(spark, d).randomize_ids(3).out_degrees().groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
+    """The relabelled edges, mapped back by the permutation: the same multiset; most ids moved, and the new ids are 0 .. n-1."""
+    g = coo_graph(spark, d)
+    known = Cutter(spark, "ids").cut(Graph(g.vertices.withColumn("was", F.col("id")), g.edges).randomize_ids(3).vertices)[0]
+    r = g.relabel(known.select(F.col("was").alias("id"), F.col("id").alias("new_id")))
+    back = Graph(r.vertices, Cutter(spark, "relabelled").cut(r.edges)[0]).relabel(known.select("id", F.col("was").alias("new_id")))
+    facts = known.agg((F.count_if(F.col("id") != F.col("was")) * 2 > F.count(F.lit(1))).alias("moved"), ((F.count_distinct("id") == F.count(F.lit(1))) & (F.min("id") == 0) & (F.max("id") == F.count(F.lit(1)) - 1)).alias("dense"))
+    return back.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(facts))  # one row
 
 
 @register("+K AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM V WHERE id IN (SELECT src FROM E) AND id IN (SELECT dst FROM E)) SELECT a.n AS src, b.n AS dst, weight FROM E JOIN K a ON a.id = src JOIN K b ON b.id = dst")
@@ -379,11 +386,24 @@ def g_component_histogram(spark: SparkSession, d: str) -> DataFrame:
     return components.component_histogram(components.connected_components(coo_graph(spark, d)))
 
 
-@register()
+# The component of the vertex of the largest degree by two searches; mutual reachability among all others.
+_SCC = """+Q AS (SELECT DISTINCT src, dst FROM E WHERE src <> dst), S AS (SELECT id FROM D ORDER BY degree DESC, id LIMIT 1), FW AS (SELECT id FROM S UNION SELECT dst FROM FW JOIN Q ON src = id), BW AS (SELECT id FROM S UNION SELECT src FROM BW JOIN Q ON dst = id),
+G AS MATERIALIZED (SELECT id FROM FW INTERSECT SELECT id FROM BW), Q2 AS MATERIALIZED (SELECT * FROM Q WHERE src NOT IN (SELECT id FROM G) AND dst NOT IN (SELECT id FROM G)), TC(a, b) AS (SELECT src, dst FROM Q2 UNION SELECT a, dst FROM TC JOIN Q2 ON src = b),
+SC AS (SELECT V.id, CASE WHEN V.id IN (SELECT id FROM G) THEN (SELECT min(id) FROM G) ELSE least(V.id, coalesce(m, V.id)) END AS component FROM V LEFT JOIN (SELECT x.a AS id, min(x.b) AS m FROM TC x JOIN TC y ON y.a = x.b AND y.b = x.a GROUP BY x.a) USING (id)) """
+
+
+@register(_SCC + "SELECT * FROM SC", recursive=True)
 def g_strong_components(spark: SparkSession, d: str) -> DataFrame:
     return components.strong_components(coo_graph(spark, d))
 
 
+@register(_SCC + "SELECT component, count(*) AS size FROM SC GROUP BY component HAVING count(*) > 1", recursive=True)
+def g_strong_component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The strongly connected components of more than one vertex."""
+    found = components.strong_components(coo_graph(spark, d))
+    return found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+
+
 # ranking
 
 
@@ -418,26 +438,33 @@ def g_page_rank_dynamic(spark: SparkSession, d: str) -> DataFrame:
     return ranking.page_rank(g.insert(batch), rounds=3, threshold=None, start=before).withColumn("rank", F.round("rank", 10))
 
 
-# The default job: up to 20 rounds, ended by the sum of changes.  SQL unrolls a fixed number of rounds and has no such end.
+# The default job: up to 20 rounds, ended by the sum of changes.  SQL unrolls all rounds and takes the first one after which it ends.
 
 
-@register()
+def _rank_end(tag: str = "P", rounds: int = 20) -> str:
+    """The common tables {tag}E with the ranks at which the default job ends."""
+    changes = " UNION ALL ".join(f"SELECT {i} AS r, sum(abs(a.rank - b.rank)) AS c FROM {tag}{i} a JOIN {tag}{i - 1} b USING (id)" for i in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS r, id, rank FROM {tag}{i}" for i in range(1, rounds + 1))
+    return f", {tag}C AS MATERIALIZED ({changes}), {tag}E AS MATERIALIZED (SELECT id, rank FROM ({every}) WHERE r = coalesce((SELECT min(r) FROM {tag}C WHERE c <= 0.001), {rounds}))"
+
+
+@register("+" + _rank_sql(20, True) + _rank_end() + " SELECT id, round(rank, 10) AS rank FROM PE")
 def g_page_rank_default(spark: SparkSession, d: str) -> DataFrame:
     return ranking.page_rank(coo_graph(spark, d)).withColumn("rank", F.round("rank", 10))
 
 
-@register()
+@register("+" + _rank_sql(20, False) + _rank_end() + " SELECT id, round(rank, 10) AS rank FROM PE")
 def g_page_rank_pull_default(spark: SparkSession, d: str) -> DataFrame:
     return ranking.page_rank(coo_graph(spark, d), mode="pull").withColumn("rank", F.round("rank", 10))
 
 
-@register()
+@register("+" + _rank_sql(20, True) + _rank_end() + " SELECT id, round(rank, 10) AS rank FROM PE ORDER BY PE.rank DESC, id LIMIT 10")
 def g_page_rank_top_default(spark: SparkSession, d: str) -> DataFrame:
     r = ranking.page_rank(coo_graph(spark, d))
     return r.orderBy(F.desc("rank"), "id").limit(10).withColumn("rank", F.round("rank", 10))
 
 
-@register()
+@register("+B0 AS (SELECT src, dst FROM F WHERE base), " + _rank_sql(20, True, edges="B0", tag="Q") + _rank_end("Q") + ", " + _rank_sql(20, True, start="SELECT * FROM QE") + _rank_end() + " SELECT id, round(rank, 10) AS rank FROM PE")
 def g_page_rank_dynamic_default(spark: SparkSession, d: str) -> DataFrame:
     g, batch = split_graph(spark, d)
     return ranking.page_rank(g.insert(batch), start=ranking.page_rank(g)).withColumn("rank", F.round("rank", 10))
@@ -456,15 +483,16 @@ def g_katz(spark: SparkSession, d: str) -> DataFrame:
     return ranking.katz(coo_graph(spark, d).simple(), rounds=5).withColumns({c: F.round(c, 9) for c in ("score", "lower", "upper")})
 
 
-@register()
+@register(_katz_sql(49) + " SELECT id, round(score, 9) AS score, round(score + power(alpha, 50) / (1 - alpha) * paths, 9) AS lower, round(score + power(alpha, 50) / (1 - alpha * top) * paths, 9) AS upper FROM KS JOIN K49 USING (id), A")
 def g_katz_default(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.katz(coo_graph(spark, d).simple()).withColumns({c: F.round(c, 9) for c in ("score", "lower", "upper")})
+    return ranking.katz(coo_graph(spark, d).simple()).select("id", *(F.round(c, 9).alias(c) for c in ("score", "lower", "upper")))
 
 
-@register()
+@register(_katz_sql(19) + " SELECT id FROM KS ORDER BY score DESC, id LIMIT 10")
 def g_katz_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten vertices of the largest scores; their bounds depend on the round at which they are sure."""
     k = ranking.katz(coo_graph(spark, d).simple(), rounds=20, top_k=10)
-    return k.orderBy(F.desc("lower"), "id").limit(10).select("id", F.round("lower", 9).alias("lower"))
+    return k.orderBy(F.desc("lower"), "id").limit(10).select("id")
 
 
 def _katz_dynamic(spark: SparkSession, d: str, rounds: int) -> DataFrame:
@@ -484,20 +512,28 @@ def g_katz_dynamic(spark: SparkSession, d: str) -> DataFrame:
     return _katz_dynamic(spark, d, 3)
 
 
-@register()
+@register(_katz_sql(49) + " SELECT id, round(score, 9) AS score FROM KS")
 def g_katz_dynamic_default(spark: SparkSession, d: str) -> DataFrame:
     """The rounds of the static default, which are one less than its 50."""
     return _katz_dynamic(spark, d, 49)
 
 
-@register()
+def _bc_sql(roots: str) -> str:
+    """Brandes' dependencies: levels and path counts forwards, shares backwards."""
+    return f"""+S AS ({roots}), B(root, id, lvl, sigma) USING KEY (root, id) AS (SELECT id, id, 0, 1.0::DOUBLE FROM S UNION SELECT B.root, U.dst, max(B.lvl) + 1, sum(B.sigma) FROM B JOIN U ON U.src = B.id WHERE (B.root, U.dst) NOT IN (SELECT (root, id) FROM recurring.B) GROUP BY B.root, U.dst),
+L AS MATERIALIZED (SELECT * FROM B), X(root, id, lvl, sigma, delta) AS (SELECT root, id, lvl, sigma, 0::DOUBLE FROM L WHERE lvl = (SELECT max(lvl) FROM L)
+UNION ALL SELECT b.root, b.id, b.lvl, b.sigma, b.sigma * coalesce(s.share, 0) FROM (SELECT * FROM L WHERE lvl = (SELECT min(lvl) FROM X) - 1) b LEFT JOIN (SELECT X.root, U.src AS id, sum((1 + X.delta) / X.sigma) AS share FROM X JOIN U ON U.dst = X.id GROUP BY ALL) s ON s.root = b.root AND s.id = b.id)
+SELECT id, round(coalesce(bc, 0), 6) AS bc FROM V LEFT JOIN (SELECT id, sum(delta) AS bc FROM X WHERE id <> root GROUP BY id) USING (id)"""
+
+
+@register(_bc_sql("SELECT src AS id FROM U GROUP BY src ORDER BY count(*) DESC, src LIMIT 1"), recursive=True)
 def g_betweenness(spark: SparkSession, d: str) -> DataFrame:
     """One root: the vertex of the largest degree."""
     g = coo_graph(spark, d).simple()
     return ranking.betweenness(g, g.max_degree().select("id"), symmetric=True).withColumn("bc", F.round("bc", 6))
 
 
-@register()
+@register(_bc_sql("SELECT id FROM V ORDER BY md5(id || '-1'), id LIMIT 8"), recursive=True)
 def g_betweenness_sampled(spark: SparkSession, d: str) -> DataFrame:
     g = coo_graph(spark, d).simple()
     return ranking.betweenness(g, ranking.random_roots(g, 8, 1), symmetric=True).withColumn("bc", F.round("bc", 6))
@@ -563,18 +599,25 @@ def g_truss_3_whole(spark: SparkSession, d: str) -> DataFrame:
     return dense.truss(coo_graph(spark, d), 3)
 
 
-@register()
+_TRUSS = _TRI + """, T3 AS MATERIALIZED (SELECT list_sort([u, v, w])[1] AS a, list_sort([u, v, w])[2] AS b, list_sort([u, v, w])[3] AS c FROM T),
+S3 AS MATERIALIZED (SELECT row_number() OVER () AS t, a, b, c FROM T3), SIDES AS MATERIALIZED (SELECT t, a AS src, b AS dst FROM S3 UNION ALL SELECT t, a, c FROM S3 UNION ALL SELECT t, b, c FROM S3),
+R(r, src, dst, truss) AS (SELECT 0, src, dst, count(*) + 2 FROM SIDES GROUP BY src, dst UNION ALL SELECT (SELECT max(r) FROM R) + 1, src, dst, max(least(x, k + 2)) FROM
+(SELECT s.src, s.dst, m.x, row_number() OVER (PARTITION BY s.src, s.dst ORDER BY m.x DESC) AS k FROM SIDES s JOIN (SELECT t, min(truss) AS x FROM SIDES JOIN R USING (src, dst) WHERE R.r < 25 GROUP BY t) m USING (t)) GROUP BY src, dst),
+TN AS (SELECT src, dst, CAST(coalesce(truss, 2) AS INT) AS truss FROM U LEFT JOIN (SELECT src, dst, truss FROM R WHERE r = 25) USING (src, dst) WHERE src < dst) """
+
+
+@register(_TRUSS + "SELECT src, dst FROM TN WHERE truss >= 4", recursive=True)
 def g_truss_4_whole(spark: SparkSession, d: str) -> DataFrame:
     """More than one round: edges that leave break triangles of others."""
     return dense.truss(coo_graph(spark, d), 4)
 
 
-@register()
+@register(_TRUSS + "SELECT * FROM TN", recursive=True)
 def g_truss_numbers(spark: SparkSession, d: str) -> DataFrame:
     return dense.truss_numbers(coo_graph(spark, d))
 
 
-@register()
+@register(_TRUSS + "SELECT * FROM TN", recursive=True)
 def g_truss_dynamic(spark: SparkSession, d: str) -> DataFrame:
     """Truss numbers of the whole edge table, reached from those of the base files by the batch of the others."""
     g, batch = split_graph(spark, d)
@@ -584,7 +627,7 @@ def g_truss_dynamic(spark: SparkSession, d: str) -> DataFrame:
     return dense.truss_numbers_after(edges, before, batch, batch.limit(0))
 
 
-@register()
+@register(_TRUSS + "SELECT max(truss) AS max_k FROM TN", recursive=True)
 def g_max_truss(spark: SparkSession, d: str) -> DataFrame:
     return dense.max_truss(coo_graph(spark, d))
 
@@ -609,7 +652,10 @@ def g_support_after_erase_whole(spark: SparkSession, d: str) -> DataFrame:
     return dense.support_after_erase(edges, dense.edge_support(edges), c.cut(erased)[0])
 
 
-@register()
+_CORE = """+H(r, id, core) AS (SELECT 0, src, count(*) FROM U GROUP BY src UNION ALL SELECT (SELECT max(r) FROM H) + 1, id, max(least(x, k)) FROM (SELECT U.src AS id, H.core AS x, row_number() OVER (PARTITION BY U.src ORDER BY H.core DESC) AS k FROM H JOIN U ON U.dst = H.id WHERE H.r < 40) GROUP BY id) """
+
+
+@register(_CORE + "SELECT id, coalesce(core, 0) AS core FROM V LEFT JOIN (SELECT id, core FROM H WHERE r = 40) USING (id)", recursive=True)
 def g_core_numbers(spark: SparkSession, d: str) -> DataFrame:
     return dense.core_numbers(coo_graph(spark, d))
 
@@ -628,7 +674,9 @@ def g_spmv(spark: SparkSession, d: str) -> DataFrame:
     return algebra.spmv(g, g.out_degrees().withColumnRenamed("degree", "x"), F.col("weight").cast("bigint"))
 
 
-@register()
+@register("""+W AS MATERIALIZED (SELECT src, dst, CASE WHEN src >= 256 AND dst < 256 THEN -((weight % 5 + 5) % 5) ELSE 5 END AS w FROM E WHERE weight IS NOT NULL), P(r, id, p) AS (SELECT 0, id, 0::BIGINT FROM V UNION ALL
+SELECT (SELECT max(r) FROM P) + 1, V.id, greatest(0, coalesce(CASE WHEN V.id >= 128 THEN lo ELSE hi END, 0)) FROM V LEFT JOIN (SELECT W.src AS id, min(greatest(p - w, 0)) AS lo, max(greatest(p - w, 0)) AS hi FROM P JOIN W ON W.dst = P.id GROUP BY W.src) USING (id) WHERE (SELECT max(r) FROM P) < 30)
+SELECT id, p AS potential FROM P WHERE r = 30""", recursive=True)
 def g_least_potentials(spark: SparkSession, d: str) -> DataFrame:
     g = coo_graph(spark, d, "weight")
     # Energy is lost on the way to an old vertex and won on every other edge, so that all potentials are finite.
@@ -747,22 +795,36 @@ def g_peel_json(spark: SparkSession, d: str) -> DataFrame:
 # generators
 
 
-@register()
+def _u(key: str, seed: int, n: str) -> str:
+    """The generators' hash of a row number."""
+    return f"CAST('0x' || substr(md5({key} || '-{seed}'), 1, 15) AS BIGINT) % {n}"
+
+
+@register(f"SELECT {_u('k', 5, '(SELECT count(*) FROM V)')} AS src, {_u('k', 6, '(SELECT count(*) FROM V)')} AS dst, CAST({_u('k', 7, '101')} AS INT) AS weight FROM range((SELECT count(*) FROM E)) t(k)")
 def g_random_edges(spark: SparkSession, d: str) -> DataFrame:
     g = coo_graph(spark, d)
     return generators.random_edges(spark, g.n_vertices(), g.n_edges(), 5, weight=(0, 100))
 
 
-@register()
+@register("SELECT src, dst FROM E ORDER BY substr(md5(src || '-' || dst || '-2'), 1, 15), src, dst LIMIT 1000")
 def g_sample_edges(spark: SparkSession, d: str) -> DataFrame:
     return generators.sample_edges(coo_graph(spark, d).edges, 1000, 2)
 
 
-@register()
+_NUMBERED = "NE AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS pos, src, dst FROM E), NV AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, id FROM V)"
+
+
+@register(f"+{_NUMBERED} SELECT a.id AS src, b.id AS dst FROM range(1000) t(k) JOIN NV a ON a.pos = {_u('k', 2, '(SELECT count(*) FROM V)')} JOIN NV b ON b.pos = {_u('k', 3, '(SELECT count(*) FROM V)')}")
+def g_insert_batch(spark: SparkSession, d: str) -> DataFrame:
+    return generators.insert_batch(coo_graph(spark, d), 1000, 2)
+
+
+@register(f"+{_NUMBERED} SELECT a.src, b.id AS dst FROM range(1000) t(k) JOIN NE a ON a.pos = {_u('k', 2, '(SELECT count(*) FROM E)')} JOIN NV b ON b.pos = {_u('k', 3, '(SELECT count(*) FROM V)')}")
 def g_insert_batch_weighted(spark: SparkSession, d: str) -> DataFrame:
     return generators.insert_batch(coo_graph(spark, d), 1000, 2, weighted=True)
 
 
-@register()
+@register(f"""+{_NUMBERED}, DD AS (SELECT src, count(*) AS n, min(pos) AS start, row_number() OVER (ORDER BY src) - 1 AS i FROM NE GROUP BY src)
+SELECT DISTINCT NE.src, NE.dst FROM range(1000) t(k) JOIN DD ON DD.i = {_u('k', 2, '(SELECT count(*) FROM DD)')} JOIN NE ON NE.pos = DD.start + {_u('k', 3, 'DD.n')}""")
 def g_erase_batch(spark: SparkSession, d: str) -> DataFrame:
     return generators.erase_batch(coo_graph(spark, d), 1000, 2, unique=True)

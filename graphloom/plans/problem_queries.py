@@ -67,6 +67,22 @@ _GOOD_GINFO = f"SELECT * FROM ({_GINFO}) WHERE num_vertices IS NOT NULL AND num_
 _STACKED = """SELECT 'index1' AS field, index1 AS key_value, weight FROM coo_edges WHERE index1 IS NOT NULL
 UNION ALL SELECT 'index2', index2, weight FROM coo_edges WHERE index2 IS NOT NULL"""
 
+
+
+def _broken(fields: list[tuple[str, str, str | None]]) -> str:
+    """The name of the first field with which the line stops being the start of a valid row; fields: (name, pattern, type)."""
+    tests = []
+    for k in range(1, len(fields) + 1):
+        regex = ",".join(f[1] for f in fields[:k])
+        end = "(?:,|$)" if k < len(fields) else "$"
+        ranges = [f"try_cast(trim(regexp_extract(line_text, '^{regex}{end}', {i}), ' \"' || chr(9)) AS {f[2]}) IS NULL" for i, f in enumerate(fields[:k], 1) if f[2]]
+        tests.append(f"WHEN {' OR '.join([f"NOT regexp_matches(line_text, '^{regex}{end}')", *ranges])} THEN '{fields[k - 1][0]}'")
+    return f"CASE {' '.join(tests)} END"
+
+
+_EDGE_FIELDS = [("graph_name", _ANY, None), ("index1", _INT64, "BIGINT"), ("index2", _INT64, "BIGINT"), ("weight", _INT32, "INT")]
+_GINFO_FIELDS = [("graph_name", _ANY, None), *((x, _INT64, "BIGINT") for x in ("num_vertices", "num_edges", "num_lines")), ("direction", _WAY, None)]
+
 SQL = {
     "p1_found": f"SELECT field, key_value FROM ({_STACKED}) GROUP BY ALL HAVING count(*) * 100 >= (SELECT count(*) FROM coo_edges)",
     "p1_vertex_totals": f"SELECT field, key_value, count(*) AS n_rows, count(weight) AS n_weighted, CAST(sum(weight) AS BIGINT) AS weight_sum FROM ({_STACKED}) GROUP BY field, key_value",
@@ -76,4 +92,6 @@ FROM raw_lines WHERE line_id NOT IN (SELECT line_id FROM ({_GOOD_EDGES}) UNION A
     "p2_edges": f"SELECT line_id, graph_id, graph_name, index1, index2, weight FROM ({_GOOD_EDGES})",
     "p2_ginfo": f"SELECT line_id, graph_id, graph_name, num_vertices, num_edges, num_lines, direction FROM ({_GOOD_GINFO})",
 }
+SQL["p2_broken_fields"] = f"""SELECT reason, broken_field, count(*) AS n_lines FROM (SELECT reason, CASE line_kind WHEN 'edge' THEN {_broken(_EDGE_FIELDS)} ELSE {_broken(_GINFO_FIELDS)} END AS broken_field
+FROM ({SQL["p2_found"]}) JOIN raw_lines USING (line_id)) GROUP BY ALL"""
 assert {f.kind for f in FORMATS} == {"edge", "ginfo"}

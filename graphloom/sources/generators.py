@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators.ordering import least_by, running_sum, with_index
 
 
-def _uniform(key, seed: int, n: int):
-    """A hash of the row number, spread over 0 .. n-1: the same in every run and partitioning."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)).cast("bigint")
+def digest(*parts) -> Column:
+    """60 bits of the md5 of the parts, joined by "-": the same in every run, partitioning and database."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *(F.col(p) if isinstance(p, str) else p if isinstance(p, Column) else F.lit(p) for p in parts))), 1, 15), 16, 10).cast("bigint")
+
+
+def _uniform(key, seed: int, n: int) -> Column:
+    """A hash of the row number, spread over 0 .. n-1."""
+    return F.pmod(digest(key, seed), F.lit(n))
 
 
 def random_edges(spark: SparkSession, n_vertices: int, size: int, seed: int = 0, **ranges: tuple[int, int]) -> DataFrame:
@@ -26,7 +31,7 @@ def random_edges(spark: SparkSession, n_vertices: int, size: int, seed: int = 0,
 
 def sample_edges(edges: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """``size`` rows of an edge table, chosen by a seeded hash; parallel edges may be chosen each."""
-    rows = edges.withColumn("__h", F.xxhash64(*edges.columns, F.lit(seed)))
+    rows = edges.withColumn("__h", digest(*edges.columns, seed))
     return least_by(rows, [F.col("__h"), *(F.col(c) for c in edges.columns)], size).drop("__h")
 
 
@@ -68,6 +73,6 @@ def erase_batch(g: Graph, size: int, seed: int = 0, unique: bool = False) -> Dat
         return g.edges.select("src", "dst").limit(0)
     numbered = with_index(g.edges.select("src", "dst"), [F.col("src"), F.col("dst")], "pos").select("pos", "src", "dst")
     draws = g.vertices.sparkSession.range(size).select("id", _uniform("id", seed, n).alias("at"))
-    picked = draws.join(d, "at").select((F.col("first") + F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("n"))).alias("pos"))
+    picked = draws.join(d, "at").select((F.col("first") + F.pmod(digest("id", seed + 1), F.col("n"))).alias("pos"))
     out = picked.join(numbered, "pos").select("src", "dst")
     return out.distinct() if unique else out
