@@ -68,3 +68,35 @@ def least_by(df: DataFrame, order: list[Column], n: int, cutter: Cutter | None =
     if n <= one_task:
         return df.orderBy(*order).limit(n)
     return with_index(df, order, "__at", cutter).filter(F.col("__at") < n).drop("__at")
+
+
+def bounds(values: DataFrame, among: DataFrame, value: str = "x", cutter: Cutter | None = None) -> DataFrame:
+    """(value, lower, upper): for each distinct value how many of ``among.<value>`` are less, and how many are not greater.
+
+    The positions that a binary search in the sorted column finds, by one range sort
+    of both tables together.  Nulls are left out.
+    """
+    v = values.filter(F.col(value).isNotNull()).select(value).distinct()
+    asked = v.select(value, F.explode(F.array(F.lit(0), F.lit(2))).alias("__kind"))
+    both = asked.unionByName(among.filter(F.col(value).isNotNull()).select(value, F.lit(1).alias("__kind")))
+    ranked = running_sum(both, [F.col(value), F.col("__kind")], (F.col("__kind") == 1).cast("int"), "__n", True, cutter)
+    return ranked.filter("__kind <> 1").groupBy(value).agg(F.max(F.when(F.col("__kind") == 0, F.col("__n"))).alias("lower"), F.max(F.when(F.col("__kind") == 2, F.col("__n"))).alias("upper"))
+
+
+def range_lookup(values: DataFrame, ranges: DataFrame, value: str, start: str, label: str, cutter: Cutter | None = None) -> DataFrame:
+    """``values`` with the ``label`` of the range in which ``value`` lies: the one of the largest ``start`` up to it.
+
+    Null before the first range and for null values.  Starts should be distinct;
+    of equal ones the largest label counts.
+    """
+    cutter = cutter or Cutter(values.sparkSession, "range-lookup")
+    whole = F.struct(*values.columns)
+    one = values.select(F.col(value).alias("__x"), F.lit(1).alias("__kind"), whole.alias("__row"), F.lit(None).cast(ranges.schema[label].dataType).alias("__label"), F.lit(None).cast(ranges.schema[start].dataType).alias("__start"))
+    two = ranges.filter(F.col(start).isNotNull()).select(F.col(start).alias("__x"), F.lit(0).alias("__kind"), F.lit(None).cast(one.schema["__row"].dataType).alias("__row"), F.col(label).alias("__label"), F.col(start).alias("__start"))
+    found = running_max(one.unionByName(two), [F.col("__x"), F.col("__kind")], F.when(F.col("__start").isNotNull(), F.struct("__start", "__label")), "__found", cutter)
+    return found.filter("__kind = 1").select("__row.*", F.when(F.col("__x").isNotNull(), F.col("__found.__label")).alias(label))
+
+
+def merge(a: DataFrame, b: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows of two tables of the same columns in one order."""
+    return a.unionByName(b).orderBy(*order)

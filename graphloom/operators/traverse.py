@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.loops import Cutter
+from .ordering import with_index
 from .skew import HEAVY_ROWS, heavy_threshold, join_any
 
 
@@ -36,6 +37,11 @@ def for_all_edges(g: Graph, frontier: DataFrame | None = None, **columns: Column
     return e.withColumns(columns)
 
 
+def for_all_edge_numbers(g: Graph, **columns: Column) -> DataFrame:
+    """Every edge with its number 0 .. n-1 in the order of its ends and attributes as ``position``, with further columns."""
+    return with_index(g.edges, [F.col("src"), F.col("dst"), *(F.col(c) for c in g.edges.columns if c not in ("src", "dst"))], "position").withColumns(columns)
+
+
 def for_all_edge_pairs(g: Graph, state: DataFrame, **columns: Column) -> DataFrame:
     """Every edge with the state of both ends as structs ``s`` and ``d``."""
     return for_all_pairs(g.edges, state, **columns)

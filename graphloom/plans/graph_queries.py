@@ -10,7 +10,7 @@ from ..functions import numeric, stats
 from ..graph import Graph
 from ..operators import ordering, traverse, updates
 from ..sources import files, generators, sinks
-from ..streaming.graph_stream import StreamingGraph
+from ..streaming.graph_stream import StreamingGraph, store_windowed_counts
 from .derived import all_vertices, coo_graph, copurchase, edge_rows, split_graph, table
 from .loops import Cutter
 
@@ -210,26 +210,101 @@ def g_gather(spark: SparkSession, d: str) -> DataFrame:
     return updates.gather(numbered, g.out_degrees().select(F.col("degree").alias("pos")).distinct(), "pos").select("src", "dst", "pos")
 
 
-@register("SELECT src, dst, weight FROM E")
-def g_stream_inserts(spark: SparkSession, d: str) -> DataFrame:
-    """The graph after the edge table has arrived as a stream of files."""
-    c = Cutter(spark, "stream")
-    first = edge_rows(spark, d).select("src", "dst", "weight").limit(0)
-    s = StreamingGraph(spark, c.path(), first)
+def _edge_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The edge table as a stream of files."""
     raw = spark.readStream.schema(table(spark, d, "coo_edges").schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", "*.parquet")
     path = f"{d}/coo_edges.parquet"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
         raw, path = raw.option("pathGlobFilter", "coo_edges.parquet"), d
-    stream = raw.parquet(path).select((F.col("index1") - 1).alias("src"), (F.col("index2") - 1).alias("dst"), "weight")
+    return raw.parquet(path)
+
+
+@register("SELECT src, dst, weight FROM E")
+def g_stream_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """The graph after the edge table has arrived as a stream of files."""
+    c = Cutter(spark, "stream")
+    first = edge_rows(spark, d).select("src", "dst", "weight").limit(0)
+    s = StreamingGraph(spark, c.path(), first)
+    stream = _edge_stream(spark, d).select((F.col("index1") - 1).alias("src"), (F.col("index2") - 1).alias("dst"), "weight")
     s.run(stream, c.path())
     return s.edges()
 
 
+@register("SELECT src, dst FROM E EXCEPT ALL SELECT DISTINCT src, dst FROM F WHERE NOT base")
+def g_stream_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches: the base files, then the others, then an erasure of each edge of the others once; with a compaction."""
+    c = Cutter(spark, "stream-batches")
+    g, batch = split_graph(spark, d)
+    op = lambda df, name: df.select("src", "dst", F.lit(name).alias("op"))
+    s = StreamingGraph(spark, c.path(), g.edges.limit(0), op="op", compact_after=2)
+    for n, rows in enumerate((op(g.edges, "insert"), op(batch, "insert"), op(batch.distinct(), "erase"))):
+        s.apply(rows, n)
+    return s.edges()
+
+
+@register("""SELECT start, start + INTERVAL 1 DAY AS "end", count(*) AS n_edges FROM (SELECT date_trunc('day', seen_at) AS start FROM coo_edges WHERE seen_at IS NOT NULL)
+WHERE start + INTERVAL 1 DAY <= (SELECT max(seen_at) FROM coo_edges) - INTERVAL 2 DAY GROUP BY start""")
+def g_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines per day of the whole edge table as a stream, as far as the watermark has closed the windows."""
+    c = Cutter(spark, "windows")
+    stream = _edge_stream(spark, d).withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    counts = store_windowed_counts(stream, c.path(), c.path(), "seen_at", "1 day", "2 days")
+    return counts.select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n_edges")
+
+
 # traversal operators and primitives
 
 
+@register("SELECT id, degree, degree * 2 + 1 AS value FROM D")
+def g_for_all_vertices_whole(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.for_all_vertices(coo_graph(spark, d), value=F.col("degree") * 2 + 1)
+
+
+@register("SELECT src, dst, src + dst AS value FROM E")
+def g_for_all_edges_whole(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.for_all_edges(coo_graph(spark, d), value=F.col("src") + F.col("dst"))
+
+
+@register("SELECT row_number() OVER (ORDER BY src, dst) - 1 AS position, src, dst, (row_number() OVER (ORDER BY src, dst) - 1) * 2 AS twice FROM E")
+def g_for_all_edge_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.for_all_edge_numbers(coo_graph(spark, d), twice=F.col("position") * 2)
+
+
+@register("SELECT src, dst, a.degree + b.degree AS both FROM F JOIN D a ON a.id = src JOIN D b ON b.id = dst WHERE NOT base")
+def g_for_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Given pairs, here those of a batch, with the state of both ends."""
+    batch = split_graph(spark, d)[1]
+    return traverse.for_all_pairs(batch, coo_graph(spark, d).out_degrees(), both=F.col("s.degree") + F.col("d.degree")).select("src", "dst", "both")
+
+
+@register("SELECT P.src, P.dst, x.dst AS common FROM (SELECT DISTINCT src, dst FROM F WHERE NOT base AND src <> dst) P JOIN U x ON x.src = P.src JOIN U y ON y.src = P.dst AND y.dst = x.dst")
+def g_pair_intersections(spark: SparkSession, d: str) -> DataFrame:
+    """Common neighbours of given pairs, here those of a batch."""
+    pairs = split_graph(spark, d)[1].filter("src <> dst")
+    return traverse.adjacency_intersections(coo_graph(spark, d).simple(), pairs)
+
+
+@register("SELECT row_number() OVER (ORDER BY src, dst) - 1 AS position, src FROM E")
+def g_range_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The source of every edge number, found among the offsets of the compressed rows."""
+    g = coo_graph(spark, d)
+    starts = g.csr()[0].filter("degree > 0").select("offset", F.col("id").alias("src"))
+    return ordering.range_lookup(spark.range(g.n_edges()).withColumnRenamed("id", "position"), starts, "position", "offset", "src").select("position", "src")
+
+
+@register("SELECT id AS x, (SELECT count(*) FROM E WHERE src < id) AS lower, (SELECT count(*) FROM E WHERE src <= id) AS upper FROM V")
+def g_bounds(spark: SparkSession, d: str) -> DataFrame:
+    g = coo_graph(spark, d)
+    return ordering.bounds(g.vertices.select(F.col("id").alias("x")), g.edges.select(F.col("src").alias("x")))
+
+
+@register("SELECT src, dst, weight FROM F WHERE NOT base ORDER BY src, dst, weight")
+def g_sort_batch(spark: SparkSession, d: str) -> DataFrame:
+    return updates.sort_batch(split_graph(spark, d, "weight")[1])
+
+
 @register("SELECT id, id * id AS square FROM range((SELECT count(*) FROM V)) t(id)")
 def g_for_all(spark: SparkSession, d: str) -> DataFrame:
     return traverse.for_all(spark, all_vertices(spark, d).count(), square=F.col("id") * F.col("id"))

@@ -265,9 +265,10 @@ def test_generators_are_seeded(g, spark, rows):
     assert {r.id for r in generators.weighted_vertices(g, 200).collect()} <= {a for a, _ in ARCS}
 
 
-def test_stream_equals_one_batch_and_replays_nothing(spark, tmp_path, rows):
+@pytest.mark.parametrize("compact", [1, 2, 16])
+def test_stream_equals_one_batch_and_replays_nothing(spark, tmp_path, rows, compact):
     e = spark.createDataFrame([(i % 5, i % 7, "erase" if i % 11 == 10 else "insert") for i in range(60)], "src bigint, dst bigint, op string")
-    s = StreamingGraph(spark, f"file://{tmp_path}/g", e.select("src", "dst").limit(0), op="op")
+    s = StreamingGraph(spark, f"file://{tmp_path}/g", e.select("src", "dst").limit(0), op="op", compact_after=compact)
     want = []
     data = [tuple(r) for r in e.collect()]
     for n, at in enumerate(range(0, 60, 20)):
@@ -280,6 +281,34 @@ def test_stream_equals_one_batch_and_replays_nothing(spark, tmp_path, rows):
         s.apply(df, n)
         s.apply(df, n)
     assert rows(s.edges()) == sorted(want, key=repr)
+    assert s.last_batch() == 2 and len({n for k, n in s._folders() if k == "base"}) <= 2
+    s.reset()
+    s.apply(df, 2)
+    assert rows(s.edges()) == [] and len(s._folders()) == 1
+    s.reset(e.select("src", "dst").limit(1))
+    assert len(rows(s.edges())) == 1
+
+
+def test_range_lookup_and_bounds(spark, rows):
+    ranges = spark.createDataFrame([(0, "a"), (10, "b"), (12, "c"), (None, "n")], "s bigint, name string")
+    values = spark.createDataFrame([(-1,), (0,), (9,), (10,), (11,), (99,), (None,)], "v bigint")
+    got = ordering.range_lookup(values, ranges, "v", "s", "name")
+    assert rows(got) == sorted([(-1, None), (0, "a"), (9, "a"), (10, "b"), (11, "b"), (99, "c"), (None, None)], key=repr)
+    among = spark.createDataFrame([(3,), (5,), (5,), (8,), (None,)], "x bigint")
+    asked = spark.createDataFrame([(x,) for x in (1, 5, 5, 6, 9)], "x bigint")
+    assert rows(ordering.bounds(asked, among), "x", "lower", "upper") == [(1, 0, 0), (5, 1, 3), (6, 3, 3), (9, 4, 4)]
+    assert [r.x for r in ordering.merge(among.dropna(), asked, [F.col("x")]).collect()] == [1, 3, 5, 5, 5, 5, 6, 8, 9]
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    from graphloom.streaming.graph_stream import store_windowed_counts
+
+    at = lambda day: f"2020-01-{day:02d} 00:00:00"
+    for i, days in enumerate([[1, 1, 2, 20], [2, 21, 30]]):
+        spark.createDataFrame([(at(x),) for x in days], "t string").selectExpr("cast(t as timestamp) t").coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("t timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = store_windowed_counts(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/c", "t", "1 day", "2 days")
+    assert {(r.start.day, r.n_edges) for r in got.collect()} in ({(1, 2), (2, 1), (20, 1), (21, 1)}, {(1, 2), (2, 2), (20, 1), (21, 1)})
 
 
 def test_structured_stream(spark, tmp_path):
