@@ -149,3 +149,17 @@ def test_joins_of_hot_keys_equal_a_plain_join(spark, rows):
     assert rows(skew.join_any(df, per, "k"), "k", "i", "x") == want
     counted = per.join(df.groupBy("k").count(), "k")
     assert rows(skew.join_salted(df, counted, ["k"], "count", 20), "k", "i", "x") == want
+
+
+@pytest.mark.parametrize("hot_rows", [1, 20, 10_000])
+def test_hot_keys_take_all_rounds_and_others_leave(spark, rows, hot_rows):
+    df = spark.createDataFrame([(None if i % 3 == 0 else 7 if i % 3 == 1 else i % 11, i) for i in range(3000)], "k bigint, v bigint").repartition(40)
+    got = tree_aggregate(df, ["k"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("v"))}, 2, 40, hot_rows)
+    assert rows(got, "k", "n", "s") == rows(df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s")), "k", "n", "s")
+
+
+def test_chunks_of_a_plan_with_a_shuffle_are_not_run(spark):
+    from graphloom.operators.tree_totals import chunks_of
+
+    assert chunks_of(spark.range(10).repartition(3)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert chunks_of(spark.range(0, 10, 1, 5)) == 5
