@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import floor_log2
 from ..graph import Graph
 from ..operators.ordering import with_index
-from ..operators.skew import HEAVY_ROWS, heavy_threshold, join_counted
+from ..operators.skew import HEAVY_ROWS, heavy_threshold, join_any, join_counted
 from ..operators.traverse import EdgeTable
 from ..plans.loops import Cutter
 
@@ -81,61 +81,91 @@ def component_histogram(found: DataFrame) -> DataFrame:
     return sizes.groupBy(floor_log2(F.col("size")).cast("int").alias("log2_size")).agg(F.count(F.lit(1)).alias("n_components"))
 
 
-def strong_components(g: Graph, max_rounds: int = 10_000) -> DataFrame:
+def strong_components(g: Graph, heavy_rows: int = HEAVY_ROWS, max_rounds: int = 10_000) -> DataFrame:
     """(id, component): the smallest id of the strongly connected component of a vertex.
 
     Forward-backward colouring: vertices without an in- or out-edge among the
     remaining ones are components of their own; otherwise the smallest id that
     reaches a vertex is its colour, and a component is what reaches the root of a
     colour from inside it.  Found components leave the graph, and the rest repeats.
+    Edges of a hub meet its state by broadcast.  Stages are removed as soon as the
+    next one stands.
     """
     spark = g.vertices.sparkSession
     cutter = Cutter(spark, "strong")
-    edges, _ = cutter.cut(g.edges.select("src", "dst").filter("src <> dst").distinct())
-    left, _, n = cutter.cut_counting(g.vertices.select("id"), n=F.count(F.lit(1)))
+    edges, edges_path, size = cutter.cut_counting(g.edges.select("src", "dst").filter("src <> dst").distinct(), n=F.count(F.lit(1)))
+    left, left_path, n = cutter.cut_counting(g.vertices.select("id"), n=F.count(F.lit(1)))
     done = []
     for _ in range(max_rounds):
         if not n["n"]:
             break
         core = left.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        core, _, kept = cutter.cut_counting(core, n=F.count(F.lit(1)))
+        core, core_path, kept = cutter.cut_counting(core, n=F.count(F.lit(1)))
         if kept["n"] < n["n"]:
-            done.append(left.join(core, "id", "left_anti").select("id", F.col("id").alias("component")))
+            part, _ = cutter.cut(left.join(core, "id", "left_anti").select("id", F.col("id").alias("component")))
+            done.append(part)
         else:
-            colour = _flow(edges, core.select("id", F.col("id").alias("value")), cutter)
-            same = edges.join(colour.select(F.col("id").alias("src"), F.col("value").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("value").alias("b")), "dst").filter("a = b")
-            back, _ = cutter.cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            found = _reach(back, colour.filter("id = value").select("id"), cutter)
+            colour, colour_path = _flow(edges, size["n"], core.select("id", F.col("id").alias("value")), cutter, heavy_rows)
+            value = lambda end, name: colour.select(F.col("id").alias(end), F.col("value").alias(name))
+            join = (lambda e, v, end: join_any(e, v, end, heavy_rows, edges)) if size["n"] >= heavy_rows else (lambda e, v, end: e.join(v, end))
+            same = join(join(edges, value("src", "a"), "src"), value("dst", "b"), "dst").filter("a = b")
+            back, back_path, inside = cutter.cut_counting(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), n=F.count(F.lit(1)))
+            found, found_path = _reach(back, inside["n"], colour.filter("id = value").select("id"), cutter, heavy_rows)
             part, _ = cutter.cut(colour.join(found, "id", "left_semi").select("id", F.col("value").alias("component")))
             done.append(part)
-            core, _, kept = cutter.cut_counting(core.join(part, "id", "left_anti"), n=F.count(F.lit(1)))
-        left, n = core, kept
-        edges, _ = cutter.cut(edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+            whole, whole_path = core, core_path
+            core, core_path, kept = cutter.cut_counting(whole.join(part, "id", "left_anti"), n=F.count(F.lit(1)))
+            cutter.drop(colour_path, back_path, found_path, whole_path)
+        before = edges_path
+        edges, edges_path, size = cutter.cut_counting(edges.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi"), n=F.count(F.lit(1)))
+        cutter.drop(before, left_path)
+        left, left_path, n = core, core_path, kept
+    cutter.drop(edges_path, left_path)
     out = spark.createDataFrame([], "id bigint, component bigint")
     for x in done:
         out = out.unionByName(x)
     return out
 
 
-def _flow(edges: DataFrame, state: DataFrame, cutter: Cutter) -> DataFrame:
+class _Out:
+    """Joins a vertex state to the ``n`` edges out of it, many times; hubs take the counted join."""
+
+    def __init__(self, edges: DataFrame, n: int, cutter: Cutter, heavy_rows: int):
+        self.edges, self.path, self.any_heavy = edges, None, False
+        if n < heavy_rows:
+            return
+        self.degrees, self.path, seen = cutter.cut_counting(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), total=F.sum("n"), most=F.max("n"))
+        self.threshold = heavy_threshold(seen["total"] or 0, heavy_rows)
+        self.any_heavy = (seen["most"] or 0) >= self.threshold
+
+    def join(self, state: DataFrame) -> DataFrame:
+        s = state.withColumnRenamed("id", "src")
+        return join_counted(self.edges, s.join(self.degrees, "src"), "src", "n", self.threshold) if self.any_heavy else self.edges.join(s, "src")
+
+
+def _flow(edges: DataFrame, size: int, state: DataFrame, cutter: Cutter, heavy_rows: int) -> tuple[DataFrame, str]:
     """The smallest value that reaches each vertex along the edges."""
+    out = _Out(edges, size, cutter, heavy_rows)
     state, path, n = cutter.cut_counting(state.withColumn("fresh", F.lit(True)), n=F.count(F.lit(1)))
     while n["n"]:
-        sent = edges.join(state.filter("fresh").select(F.col("id").alias("src"), "value"), "src").select(F.col("dst").alias("id"), "value", F.lit(None).cast("bigint").alias("old"))
+        sent = out.join(state.filter("fresh").select("id", "value")).select(F.col("dst").alias("id"), "value", F.lit(None).cast("bigint").alias("old"))
         merged = state.select("id", "value", F.col("value").alias("old")).unionByName(sent).groupBy("id").agg(F.min("value").alias("value"), F.min("old").alias("old"))
         before = path
         state, path, n = cutter.cut_counting(merged.select("id", "value", (F.col("value") < F.col("old")).alias("fresh")), n=F.count_if(F.col("fresh")))
         cutter.drop(before)
-    return state.select("id", "value")
+    cutter.drop(out.path)
+    return state.select("id", "value"), path
 
 
-def _reach(edges: DataFrame, roots: DataFrame, cutter: Cutter) -> DataFrame:
+def _reach(edges: DataFrame, size: int, roots: DataFrame, cutter: Cutter, heavy_rows: int) -> tuple[DataFrame, str]:
     """All vertices that the roots reach, the roots included."""
+    out = _Out(edges, size, cutter, heavy_rows)
     state, path, n = cutter.cut_counting(roots.select("id", F.lit(True).alias("fresh")), n=F.count(F.lit(1)))
     while n["n"]:
-        sent = edges.join(state.filter("fresh").select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), F.lit(True).alias("fresh"))
+        sent = out.join(state.filter("fresh").select("id")).select(F.col("dst").alias("id"), F.lit(True).alias("fresh"))
         merged = state.select("id", F.lit(False).alias("fresh")).unionByName(sent).groupBy("id").agg(F.min("fresh").alias("fresh"))
         before = path
         state, path, n = cutter.cut_counting(merged, n=F.count_if(F.col("fresh")))
         cutter.drop(before)
-    return state.select("id")
+    cutter.drop(out.path)
+    return state.select("id"), path

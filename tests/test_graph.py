@@ -89,6 +89,7 @@ def test_cores_and_trusses(g, rows):
 def test_strong_components(g):
     d = as_dict(components.strong_components(g), "id", "component")
     assert d == {**{i: i for i in range(9)}, 3: 2}
+    assert as_dict(components.strong_components(g, heavy_rows=2), "id", "component") == d
 
 
 def test_betweenness(u, spark):
