@@ -1,6 +1,9 @@
-"""Sentences written before the word lists of the abuse operator were rewritten; none was copied into a list afterwards.
+"""Sentences that measure how the abuse operator does on wordings other than those of the test tables.
 
-(category or none, text).  They measure how the method does on wordings it was not made from.
+(category or none, text).  The first set was written right before the word lists, by
+the same author, and some of its words (oxygen, kitchen, snivelling, ...) are in the
+lists, so its figure flatters the method.  The second set was written after the
+method was done, and nothing was changed on account of it.
 """
 
 HELD_OUT = [
@@ -153,7 +156,6 @@ HELD_OUT = [
     ("none", "The parasite was found in the intestine of the horse."),
 ]
 
-#: Written after the method was done and mended on the sentences above; it was not changed on account of these.
 HELD_OUT_2 = [
     ("abusive", "Oh do be quiet, you gormless twit."),
     ("abusive", "My landlord is a thieving bastard, she told the clerk."),
