@@ -328,7 +328,7 @@ def test_queries_equal_sql(spark, rows):
     from graphloom.llm import queries
 
     db = duckdb.connect()
-    for t in "vertex_matches edge_records coo_edges label_edges".split():
+    for t in "vertex_matches edge_records coo_edges label_edges documents container_sizes mix_targets".split():
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.SQL.items():
         df = queries.QUERIES[name](spark, SF)
