@@ -36,10 +36,3 @@ def split_graph(spark: SparkSession, d: str, *attributes: str) -> tuple[Graph, D
     e = edge_rows(spark, d).join(info, "graph_id", "left")
     first = F.coalesce(F.col("file_format").isin(*BASE_FORMATS), F.lit(False))
     return Graph.from_edges(e.filter(first).select("src", "dst", *attributes), all_vertices(spark, d)), e.filter(~first).select("src", "dst", *attributes)
-
-
-def copurchase(spark: SparkSession, d: str, quantity: int = 45) -> Graph:
-    """Parts bought in large quantities by one order, undirected, over all parts."""
-    big = table(spark, d, "lineitem").filter(F.col("l_quantity") >= quantity).select("l_orderkey", "l_partkey").distinct()
-    pairs = big.alias("a").join(big.alias("b"), "l_orderkey").filter("a.l_partkey < b.l_partkey").select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
-    return Graph.from_edges(pairs, table(spark, d, "part").select(F.col("p_partkey").alias("id"))).simple()

@@ -11,7 +11,7 @@ from ..graph import Graph
 from ..operators import ordering, traverse, updates
 from ..sources import files, generators, sinks
 from ..streaming.graph_stream import StreamingGraph, store_windowed_counts
-from .derived import all_vertices, coo_graph, copurchase, edge_rows, split_graph, table
+from .derived import all_vertices, coo_graph, edge_rows, split_graph, table
 from .loops import Cutter
 
 QUERIES: dict = {}
@@ -21,13 +21,11 @@ _PRE = """E AS (SELECT index1 - 1 AS src, index2 - 1 AS dst, weight, w1, edge_id
 V AS (SELECT id FROM anchor_vertices UNION ALL SELECT id FROM vertices),
 U AS (SELECT src, dst FROM E WHERE src <> dst UNION SELECT dst, src FROM E WHERE src <> dst),
 D AS (SELECT id, count(src) AS degree FROM V LEFT JOIN E ON src = id GROUP BY id),
-F AS (SELECT E.*, coalesce(file_format IN ('mtx', 'gr', 'graph'), false) AS base FROM E LEFT JOIN graph_info USING (graph_id)),
-CP AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity >= 45 AND b.l_quantity >= 45),
-C AS (SELECT a AS src, b AS dst FROM CP UNION ALL SELECT b, a FROM CP)"""
+F AS (SELECT E.*, coalesce(file_format IN ('mtx', 'gr', 'graph'), false) AS base FROM E LEFT JOIN graph_info USING (graph_id))"""
 
 
 def register(sql: str | None = None, recursive: bool = False):
-    """Adds a query under its own name; {..} of the SQL may use the common tables E, V, U, D, F and C."""
+    """Adds a query under its own name; {..} of the SQL may use the common tables E, V, U, D and F."""
 
     def add(f):
         QUERIES[f.__name__] = f
@@ -646,31 +644,17 @@ def g_mean_clustering(spark: SparkSession, d: str) -> DataFrame:
     return dense.mean_clustering(coo_graph(spark, d)).withColumn("coefficient", F.round("coefficient", 9))
 
 
-_SUP = "+S AS (SELECT c.src, c.dst, (SELECT count(*) FROM C x JOIN C y ON x.dst = y.dst WHERE x.src = c.src AND y.src = c.dst) AS support FROM C c WHERE c.src < c.dst) "
+_SUP = _TRI + ", TE AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) AS n FROM (SELECT u AS a, v AS b FROM T UNION ALL SELECT u, w FROM T UNION ALL SELECT v, w FROM T) GROUP BY ALL), S AS (SELECT src, dst, coalesce(n, 0) AS support FROM U LEFT JOIN TE USING (src, dst) WHERE src < dst) "
 
 
 @register(_SUP + "SELECT * FROM S")
 def g_edge_support(spark: SparkSession, d: str) -> DataFrame:
-    return dense.edge_support(copurchase(spark, d).edges)
-
-
-@register(_SUP + "SELECT src, dst FROM S WHERE support >= 1")
-def g_truss_3(spark: SparkSession, d: str) -> DataFrame:
-    """Edges in a triangle; one round is enough for k = 3."""
-    return dense.truss(copurchase(spark, d), 3)
-
-
-_SUP_WHOLE = _TRI + ", TE AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) AS n FROM (SELECT u AS a, v AS b FROM T UNION ALL SELECT u, w FROM T UNION ALL SELECT v, w FROM T) GROUP BY ALL), S AS (SELECT src, dst, coalesce(n, 0) AS support FROM U LEFT JOIN TE USING (src, dst) WHERE src < dst) "
-
-
-@register(_SUP_WHOLE + "SELECT * FROM S")
-def g_edge_support_whole(spark: SparkSession, d: str) -> DataFrame:
     """Supports of the whole edge table."""
     return dense.edge_support(coo_graph(spark, d).simple().edges)
 
 
-@register(_SUP_WHOLE + "SELECT src, dst FROM S WHERE support >= 1")
-def g_truss_3_whole(spark: SparkSession, d: str) -> DataFrame:
+@register(_SUP + "SELECT src, dst FROM S WHERE support >= 1")
+def g_truss_3(spark: SparkSession, d: str) -> DataFrame:
     return dense.truss(coo_graph(spark, d), 3)
 
 
@@ -682,7 +666,7 @@ TN AS (SELECT src, dst, CAST(coalesce(truss, 2) AS INT) AS truss FROM U LEFT JOI
 
 
 @register(_TRUSS + "SELECT src, dst FROM TN WHERE truss >= 4", recursive=True)
-def g_truss_4_whole(spark: SparkSession, d: str) -> DataFrame:
+def g_truss_4(spark: SparkSession, d: str) -> DataFrame:
     """More than one round: edges that leave break triangles of others."""
     return dense.truss(coo_graph(spark, d), 4)
 
@@ -707,19 +691,11 @@ def g_max_truss(spark: SparkSession, d: str) -> DataFrame:
     return dense.max_truss(coo_graph(spark, d))
 
 
-@register("+B AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_quantity >= 46 AND b.l_quantity >= 46) SELECT c.src, c.dst, (SELECT count(*) FROM B x JOIN B y ON x.dst = y.dst WHERE x.src = c.src AND y.src = c.dst) AS support FROM B c WHERE c.src < c.dst")
-def g_support_after_erase(spark: SparkSession, d: str) -> DataFrame:
-    """Supports kept up when the pairs that were bought in smaller quantities are erased."""
-    g = copurchase(spark, d)
-    erased = g.edges.join(copurchase(spark, d, 46).edges, ["src", "dst"], "left_anti").filter("src < dst")
-    return dense.support_after_erase(g.edges, dense.edge_support(g.edges), erased)
-
-
-_SUP_BASE = "+UB AS (SELECT src, dst FROM F WHERE base AND src <> dst UNION SELECT dst, src FROM F WHERE base AND src <> dst), " + _SUP_WHOLE[1:].replace("FROM U ", "FROM UB U ")
+_SUP_BASE = "+UB AS (SELECT src, dst FROM F WHERE base AND src <> dst UNION SELECT dst, src FROM F WHERE base AND src <> dst), " + _SUP[1:].replace("FROM U ", "FROM UB U ")
 
 
 @register(_SUP_BASE + "SELECT * FROM S")
-def g_support_after_erase_whole(spark: SparkSession, d: str) -> DataFrame:
+def g_support_after_erase(spark: SparkSession, d: str) -> DataFrame:
     """Supports of the whole edge table kept up when the pairs outside the base files are erased."""
     c = Cutter(spark, "support-erase")
     edges, _ = c.cut(coo_graph(spark, d).simple().edges)

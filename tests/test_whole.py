@@ -103,13 +103,13 @@ def brandes():
 
 
 def test_supports_of_the_whole_table(run):
-    assert {(r.src, r.dst): r.support for r in run("g_edge_support_whole").collect()} == supports(pairs())
-    assert {(r.src, r.dst): r.support for r in run("g_support_after_erase_whole").collect()} == supports(pairs([r for r in ROWS if r[3] == 1]))
+    assert {(r.src, r.dst): r.support for r in run("g_edge_support").collect()} == supports(pairs())
+    assert {(r.src, r.dst): r.support for r in run("g_support_after_erase").collect()} == supports(pairs([r for r in ROWS if r[3] == 1]))
 
 
 @pytest.mark.parametrize("k", [3, 4])
 def test_trusses_of_the_whole_table(run, k):
-    assert {tuple(r) for r in run(f"g_truss_{k}_whole").collect()} == truss(k)
+    assert {tuple(r) for r in run(f"g_truss_{k}").collect()} == truss(k)
 
 
 @pytest.mark.parametrize("name", ["g_truss_numbers", "g_truss_dynamic"])
