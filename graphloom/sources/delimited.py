@@ -104,11 +104,23 @@ class RowFormat:
             failing = F.when(~text.rlike(self.prefix(k)), F.lit(k)).otherwise(failing)
         return failing
 
+    def _raw(self, text: Column) -> list[Column]:
+        """The fields of a valid line as they are written.
+
+        One run of the row pattern puts them behind each other, apart by a sign that no
+        value with a pattern can hold; a field of any text comes last.
+        """
+        free = [i for i, f in enumerate(self.fields) if f.pattern is None]
+        if len(free) > 1:
+            return [F.regexp_extract(text, self.whole(capture=True), i + 1) for i in range(len(self.fields))]
+        order = sorted(range(len(self.fields)), key=lambda i: (i in free, i))
+        parts = F.split(F.regexp_replace(text, self.whole(capture=True), "\x1f".join(f"${i + 1}" for i in order)), "\x1f", len(order))
+        return [F.get(parts, F.lit(order.index(i))) for i in range(len(self.fields))]
+
     def values(self, text: Column) -> list[Column]:
         """The typed fields of a valid line."""
         out = []
-        for i, f in enumerate(self.fields, 1):
-            raw = F.regexp_extract(text, self.whole(capture=True), i)
+        for f, raw in zip(self.fields, self._raw(text), strict=True):
             quoted = raw.startswith('"')
             inner = F.when(quoted, F.replace(F.substring(raw, 2, F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(F.regexp_replace(raw, r"\A[ \t]+|[ \t]+\z", ""))
             out.append((F.lower(inner) if f.cast == "lower" else inner.cast(f.cast)).alias(f.name))
