@@ -139,7 +139,7 @@ def random_roots(g: Graph, k: int, seed: int = 0) -> DataFrame:
     return least_by(g.vertices.select("id"), [F.md5(F.concat_ws("-", "id", F.lit(seed))), F.col("id")], k)
 
 
-def betweenness(g: Graph, roots: DataFrame | None = None, max_rounds: int = 10_000, state_rows: int = 50_000_000, symmetric: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def betweenness(g: Graph, roots: DataFrame | None = None, max_rounds: int = 10_000, state_rows: int = 200_000_000, symmetric: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(id, bc): Brandes' dependencies summed over all roots, or over ``roots.id``.
 
     The state is one row per (root, reached vertex).  As many roots run together as
