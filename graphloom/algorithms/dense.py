@@ -9,6 +9,7 @@ from ..graph import Graph
 from ..operators.skew import HEAVY_ROWS, heavy_threshold, join_counted, join_salted
 from ..operators.traverse import EdgeTable
 from ..plans.loops import Cutter
+from . import one_task
 
 
 def _oriented(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -112,33 +113,46 @@ def core_numbers(g: Graph) -> DataFrame:
     return g.vertices.select("id").join(core_numbers_of(g.simple().edges), "id", "left").fillna(0, ["core"])
 
 
-def core_edge_peel(g: Graph) -> DataFrame:
+def core_edge_peel(g: Graph, most_edges: int = one_task.MOST_EDGES) -> DataFrame:
     """(src, dst, peel), src < dst: iterated removal of the innermost core.
 
     Edges at vertices of degree 1 get 1 and leave; then the innermost core of what
     is left gives its edges their core number and leaves, until no edge is left.
+    Up to ``most_edges``, one task does it all by arrays.  More go by joins, until
+    so few are left: an edge that has left does not matter for those that stay.
     """
     cutter = Cutter(g.vertices.sparkSession, "peel")
-    e = g.simple().edges
+    once = g.edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    once, _, n = cutter.cut_counting(once, n=F.count(F.lit(1)))
+    if n["n"] <= most_edges:
+        return _peel_in_one_task(once, True, cutter)
+    e = _both(once)
     ones = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("src").alias("one"))
     marked = e.join(ones.select(F.col("one").alias("src"), F.lit(1).alias("a")), "src", "left").join(ones.select(F.col("one").alias("dst"), F.lit(1).alias("b")), "dst", "left")
     edges, path = cutter.cut(marked.select("src", "dst", (F.col("a").isNotNull() | F.col("b").isNotNull()).alias("leaf")))
     done = [edges.filter("leaf and src < dst").select("src", "dst", F.lit(1).cast("bigint").alias("peel"))]
     left, _, n = cutter.cut_counting(edges.filter("not leaf").select("src", "dst"), n=F.count(F.lit(1)))
     cores = None
-    while n["n"]:
+    while n["n"] > 2 * most_edges:
         cores, _, top = cutter.cut_counting(core_numbers_of(left, cores), k=F.max("core"))
         inner = cores.filter(F.col("core") == top["k"]).select("id")
         both = left.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
         part, _ = cutter.cut(both)
         done.append(part.filter("src < dst").withColumn("peel", F.lit(top["k"]).cast("bigint")))
         left, _, n = cutter.cut_counting(left.join(part, ["src", "dst"], "left_anti"), n=F.count(F.lit(1)))
+    if n["n"]:
+        done.append(_peel_in_one_task(left.filter("src < dst"), False, cutter))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _peel_in_one_task(edges: DataFrame, leaves: bool, cutter: Cutter) -> DataFrame:
+    """(src, dst, peel) of undirected edges, each there once; ``leaves``: those at a vertex of degree 1 leave first."""
+    return cutter.cut(edges.coalesce(1).mapInArrow(one_task.peel_batches(leaves), "src bigint, dst bigint, peel bigint"))[0]
+
+
 def edge_support(edges: DataFrame) -> DataFrame:
     """(src, dst, support), src < dst: triangles per edge of a symmetric simple table; edges without one have 0."""
     t = triangles_of(edges).select(F.explode(F.array(F.struct(F.col("u").alias("p"), F.col("v").alias("q")), F.struct(F.col("u").alias("p"), F.col("w").alias("q")), F.struct(F.col("v").alias("p"), F.col("w").alias("q")))).alias("e"))
