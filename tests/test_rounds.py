@@ -4,9 +4,12 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.algorithms import dense
+from graphloom.algorithms import dense, ranking
 from graphloom.graph import Graph
+from graphloom.operators.vertex_vectors import EdgeBlocks, dense_ids
+from graphloom.plans.loops import Cutter
 
 
 @pytest.fixture
@@ -38,6 +41,43 @@ def random_edges(n, m, seed):
     return sorted({(min(p), max(p)) for p in [*hub, *rng.integers(0, n, (m, 2)).tolist()] if p[0] != p[1]})
 
 
+def as_dict(df, value):
+    return {r.id: r[value] for r in df.collect()}
+
+
+def test_vector_products(spark):
+    edges = random_edges(60, 150, 1)
+    g = graph(spark, edges, 64)
+    weighted = g.edges.withColumn("weight", (F.col("src") - F.col("dst")).cast("double")).unionByName(spark.createDataFrame([(-20, 999, 5.0), (999, -20, 5.0)], "src bigint, dst bigint, weight double"))
+    ids = dense_ids(g.vertices)
+    x = np.arange(64) + 0.5
+    m = np.zeros((64, 64))
+    for a, b in edges:
+        m[a, b], m[b, a] = (b - a) * 7, (a - b) * 7
+    assert EdgeBlocks(weighted, 3_000_000, ids, Cutter(spark, "t"), weighted=True).times(x) == pytest.approx(m @ x)
+    assert EdgeBlocks(g.edges, 1, ids, Cutter(spark, "t")).times(x) == pytest.approx((m != 0) @ x)
+    assert dense_ids(g.vertices, 63) is None
+    assert dense_ids(g.vertices.unionByName(g.vertices)) is None
+    assert dense_ids(g.vertices.unionByName(spark.createDataFrame([(None,)], "id bigint"))) is None
+    assert EdgeBlocks(g.edges.limit(0), 0, ids, Cutter(spark, "t")).times(x).tolist() == [0.0] * 64
+
+
+def test_katz_rounds_are_one_job_each(spark, jobs):
+    g = graph(spark, random_edges(60, 150, 2), 64)
+    found, n = jobs("katz", lambda: ranking.katz(g).persist())
+    assert n <= 49 + 20
+    want = ranking.katz(g, most_vertices=0)
+    for c in ("score", "lower", "upper", "paths"):
+        assert as_dict(found, c) == pytest.approx(as_dict(want, c), rel=1e-12)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_katz_of_few_rounds_and_without_edges(spark, rounds):
+    for g in (graph(spark, [(0, 1), (1, 2)], 4), Graph(spark.range(3), spark.createDataFrame([], "src bigint, dst bigint"))):
+        rows = [sorted(map(tuple, ranking.katz(g, rounds, most_vertices=n).collect())) for n in (0, 100)]
+        assert [x for r in rows[0] for x in r] == pytest.approx([x for r in rows[1] for x in r])
+
+
 def nested(depth):
     """Cliques of 3 .. depth vertices in a chain, a path and isolated vertices: a peel for each size."""
     out, at = [], 0
