@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -139,6 +139,29 @@ def katz_update(levels: list[DataFrame], old_edges: DataFrame, inserted: DataFra
     return out
 
 
+def katz_after(old: Graph, inserted: DataFrame, erased: DataFrame, rounds: int, max_degree: int, most_vertices: int = MOST_VERTICES) -> DataFrame:
+    """(id, score) after a batch: the levels of ``old``, updated by their changes only.
+
+    As :func:`katz_scores` of :func:`katz_update` of :func:`katz_levels`, but up to
+    ``most_vertices`` the levels are vectors, and each is updated and added to the
+    score as soon as it stands, so that none is stored.
+    """
+    spark = old.vertices.sparkSession
+    ids = dense_ids(old.vertices, most_vertices)
+    if ids is None:
+        return katz_scores(katz_update(katz_levels(old, rounds, max_degree), old.edges, inserted, erased), max_degree)
+    cutter = Cutter(spark, "katz-after")
+    edges, _, size = cutter.cut_counting(old.edges.select("src", "dst"), n=F.count(F.lit(1)))
+    signed = inserted.select("src", "dst", F.lit(1.0).alias("weight")).unionByName(erased.select("src", "dst", F.lit(-1.0).alias("weight")))
+    signed, _, changed = cutter.cut_counting(signed, n=F.count(F.lit(1)))
+    table = EdgeBlocks(edges, size["n"], ids, cutter)
+    levels = _level_vectors(table, rounds)
+    score, alpha = np.zeros(len(ids)), 1.0 / (max_degree + 1)
+    for i, level in enumerate(_updated_vectors(levels, table, EdgeBlocks(signed, changed["n"], ids, cutter, weighted=True))):
+        score += alpha**i * level if i else 0.0
+    return vertex_table(spark, ids, {"score": score}, cutter)
+
+
 def _level_vectors(table: EdgeBlocks, rounds: int) -> Iterator[np.ndarray]:
     """Path counts of the levels 0 .. rounds."""
     level = np.ones(table.size)
@@ -148,6 +171,16 @@ def _level_vectors(table: EdgeBlocks, rounds: int) -> Iterator[np.ndarray]:
         yield level
 
 
+def _updated_vectors(levels: Iterable[np.ndarray], old: EdgeBlocks, signed: EdgeBlocks) -> Iterator[np.ndarray]:
+    """The levels after a batch of signed edges, as in :func:`katz_update`."""
+    below, delta = None, np.zeros(old.size)
+    for level in levels:
+        if below is not None:
+            delta = (old.times(delta) if delta.any() else 0.0) + signed.times(below + delta)
+        yield level + delta
+        below = level
+
+
 def katz_scores(levels: list[DataFrame], max_degree: int) -> DataFrame:
     """(id, score) of the levels 1 .. rounds."""
     alpha = 1.0 / (max_degree + 1)

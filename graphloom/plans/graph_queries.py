@@ -575,9 +575,7 @@ def _katz_dynamic(spark: SparkSession, d: str, rounds: int) -> DataFrame:
     old = Graph(g.vertices, c.cut(g.simple().edges)[0])
     new = Graph(g.vertices, c.cut(g.insert(batch).simple().edges)[0])
     added = new.edges.join(old.edges, ["src", "dst"], "left_anti")
-    levels = ranking.katz_levels(old, rounds, 0)
-    now = ranking.katz_update(levels, old.edges, added, old.edges.limit(0))
-    return ranking.katz_scores(now, new.max_degree().first().degree).withColumn("score", F.round("score", 9))
+    return ranking.katz_after(old, added, old.edges.limit(0), rounds, new.max_degree().first().degree).withColumn("score", F.round("score", 9))
 
 
 @register(_katz_sql(3) + " SELECT id, round(score, 9) AS score FROM KS")

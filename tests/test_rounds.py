@@ -78,6 +78,19 @@ def test_katz_of_few_rounds_and_without_edges(spark, rounds):
         assert [x for r in rows[0] for x in r] == pytest.approx([x for r in rows[1] for x in r])
 
 
+def test_katz_after_a_batch_takes_few_jobs(spark, jobs):
+    edges = random_edges(40, 80, 3)
+    both = lambda e: graph(spark, e, 64).edges
+    old, added, gone = edges[10:], edges[:10], edges[12:15]
+    g = graph(spark, old, 64)
+    found, n = jobs("katz-after", lambda: ranking.katz_after(g, both(added), both(gone), 9, 40).persist())
+    assert n <= 3 * 9 + 20
+    new = graph(spark, [e for e in edges if e not in gone], 64)
+    want = as_dict(ranking.katz_scores(ranking.katz_levels(new, 9, 40), 40), "score")
+    assert as_dict(found, "score") == pytest.approx(want, rel=1e-9)
+    assert as_dict(ranking.katz_after(g, both(added), both(gone), 3, 40, most_vertices=0), "score") == pytest.approx(as_dict(ranking.katz_after(g, both(added), both(gone), 3, 40), "score"))
+
+
 def nested(depth):
     """Cliques of 3 .. depth vertices in a chain, a path and isolated vertices: a peel for each size."""
     out, at = [], 0
