@@ -10,6 +10,7 @@ from graphloom.algorithms import dense, ranking
 from graphloom.graph import Graph
 from graphloom.operators.vertex_vectors import EdgeBlocks, dense_ids
 from graphloom.plans.loops import Cutter
+from graphloom.sources import sinks
 
 
 @pytest.fixture
@@ -109,3 +110,10 @@ def test_peel_takes_few_jobs(spark, jobs, edges, n):
     if edges:
         for most in (0, len(edges) // 3):
             assert sorted(map(tuple, dense.core_edge_peel(g, most).collect())) == found
+
+
+def test_peel_as_json(spark, jobs):
+    g = graph(spark, [(0, 1), (0, 2), (1, 2), (2, 3)], 5)
+    found, count = jobs("peel-json", lambda: sorted(r.value for r in sinks.peel_json(dense.core_edge_peel(g)).collect()))
+    assert found == ['{"-13,-6":2}', '{"-20,-13":2}', '{"-20,-6":2}', '{"-6,1":1}']
+    assert count <= 10
