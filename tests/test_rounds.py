@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.algorithms import dense, ranking
+from graphloom.algorithms import all_roots, dense, ranking
 from graphloom.graph import Graph
 from graphloom.operators.vertex_vectors import EdgeBlocks, dense_ids
 from graphloom.plans.loops import Cutter
@@ -117,3 +117,70 @@ def test_peel_as_json(spark, jobs):
     found, count = jobs("peel-json", lambda: sorted(r.value for r in sinks.peel_json(dense.core_edge_peel(g)).collect()))
     assert found == ['{"-13,-6":2}', '{"-20,-13":2}', '{"-20,-6":2}', '{"-6,1":1}']
     assert count <= 10
+
+
+def brandes(edges, vertices):
+    """Directed (src, dst), by lists of shortest paths; sums over the roots among ``vertices``."""
+    near, total = {}, dict.fromkeys(vertices, 0.0)
+    for a, b in set(edges):
+        if a != b:
+            near.setdefault(a, []).append(b)
+    for root in vertices:
+        far, order, sigma, delta = {root: 0}, [root], {root: 1.0}, {}
+        for v in order:
+            for w in near.get(v, []):
+                if w not in far:
+                    far[w] = far[v] + 1
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    sigma[w] = sigma.get(w, 0.0) + sigma[v]
+        for v in reversed(order):
+            delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in near.get(v, []) if far[w] == far[v] + 1)
+            if v != root and v in total:
+                total[v] += delta[v]
+    return total
+
+
+ONE_WAY = [(a, b) for a, b in random_edges(60, 150, 5) if (a + b) % 3] + [(3, 3), (5, 6), (5, 6)]
+BETWEEN = {"dense": (random_edges(60, 150, 5), 64, True), "path": ([(i, i + 1) for i in range(70)], 72, True), "directed": (ONE_WAY, 64, False), "unknown ends": (ONE_WAY, 40, False), "no edges": ([], 3, True)}
+
+
+@pytest.mark.parametrize("name", BETWEEN)
+@pytest.mark.parametrize("together", [1, 250_000])
+def test_dependencies_of_all_roots(name, together, monkeypatch):
+    edges, _, symmetric = BETWEEN[name]
+    pairs = sorted({p for a, b in edges if a != b for p in ([(a, b), (b, a)] if symmetric else [(a, b)])})
+    monkeypatch.setattr(all_roots, "_TOGETHER", together)
+    d = all_roots.Dependencies(np.searchsorted([a for a, _ in pairs], np.arange(73)), np.array([b for _, b in pairs], np.int32))
+    d.add(np.arange(72))
+    want = brandes(pairs, range(72))
+    assert d.total.tolist() == pytest.approx([want[i] for i in range(72)])
+
+
+@pytest.mark.parametrize("name", BETWEEN)
+def test_betweenness_of_all_roots_takes_few_jobs(spark, jobs, name):
+    edges, n, symmetric = BETWEEN[name]
+    ids = lambda v: v * 7 - 20
+    rows = [(ids(x), ids(y)) for a, b in edges for x, y in ([(a, b), (b, a)] if symmetric else [(a, b)])]
+    vertices = [ids(i) for i in range(n)]
+    g = Graph(spark.createDataFrame([(v,) for v in [*vertices, None]], "id bigint"), spark.createDataFrame(rows, "src bigint, dst bigint"))
+    found, count = jobs(f"between-{name}", lambda: as_dict(ranking.betweenness(g), "bc"))
+    assert count <= 12
+    want = brandes(rows, vertices) | {None: 0.0}
+    assert found == pytest.approx(want)
+    for kw in {"dense": [{"heavy_rows": 2, "symmetric": True}], "unknown ends": [{"state_rows": 1000}]}.get(name, []):
+        assert as_dict(ranking.betweenness(g, most_edges=0, **kw), "bc") == pytest.approx(want)
+
+
+def test_betweenness_of_all_roots_with_other_ids(spark):
+    for kind in ("int", "string"):
+        g = Graph(spark.range(3).select(F.col("id").cast(kind)), spark.createDataFrame([(0, 1), (1, 2)], "src bigint, dst bigint").select(F.col("src").cast(kind), F.col("dst").cast(kind)))
+        assert {str(k): v for k, v in as_dict(ranking.betweenness(g), "bc").items()} == {"0": 0.0, "1": 1.0, "2": 0.0}
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_betweenness_ends_at_its_rounds(spark, most):
+    g = Graph(spark.range(3), spark.createDataFrame([(0, 1), (1, 2)], "src bigint, dst bigint"))
+    assert as_dict(ranking.betweenness(g, max_rounds=3, most_edges=most), "bc") == {0: 0.0, 1: 1.0, 2: 0.0}
+    with pytest.raises(Exception, match="too many levels"):
+        ranking.betweenness(g, max_rounds=2, most_edges=most)
